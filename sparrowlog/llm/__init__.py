@@ -1,0 +1,11 @@
+"""Operators that a training-data pipeline needs.
+
+Nothing outside this package imports it.  Python kernels are shipped to the
+executors by value, so that a cluster needs no installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
