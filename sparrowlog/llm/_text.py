@@ -122,3 +122,46 @@ def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[n
             h = mix(np.array([h ^ w]))[0]
         out[off[d]] = h
     return out, off
+
+
+def letter_table() -> np.ndarray:
+    """Bytes as letters: A-Z in lower case, other ASCII than letters as a space, the rest as it is."""
+    t = np.arange(256, dtype=np.uint8)
+    t[:128] = 0x20
+    t[97:123] = np.arange(97, 123)
+    t[65:91] = np.arange(97, 123)
+    return t
+
+
+def letter_stream(part: np.ndarray, rel: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case with one space for each run of other characters, and n + 1 bounds.
+
+    Text d stands between the spaces at ``bounds[d]`` and ``bounds[d + 1]``.
+    """
+    x = table[part]
+    if len(x) > 1:  # capitals of Latin-1 in UTF-8
+        up = (part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E)
+        x[1:][up] |= 0x20
+    x = np.insert(x, rel, 0x20)
+    at = rel + np.arange(len(rel))
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != 0x20) | (x[:-1] != 0x20)
+    keep[at] = True
+    return x[keep], (np.cumsum(keep) - 1)[at]
+
+
+def byte_grams(x: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every run of ``n`` bytes within a text as a number, and the text's index; n is at most 7."""
+    if len(x) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    g = np.full(len(x) - n + 1, n, np.uint64)
+    for i in range(n):
+        g <<= np.uint64(8)
+        g |= x[i : len(x) - n + 1 + i]
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(g)]
+    ok = np.arange(len(g)) + n - 1 <= bounds[doc + 1] if len(g) == len(doc) else np.arange(len(doc)) + n - 1 <= bounds[doc + 1]
+    return g[: len(doc)][ok], doc[ok]
+
+
+def counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, np.uint64), np.zeros(0, np.int64))

@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, written
+from ._common import components, release, written
 from ._text import Powers, byte_codes, chunks, shingles, space_table, span_hashes, utf8, word_bounds
 
 #: Buckets of the frequency sketch (a power of two), and slices in which it is summed.
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SLICES = 16
+#: Estimates behind a document's choice of L: other documents that share a usual shingle by chance,
+#: and the part of candidates that each further match leaves.
+CHANCE, LEFT = 0.1, 0.5
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
 
@@ -67,7 +70,7 @@ def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
                     held, n = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
-        lot = int(total[::97].sum()) % 64
+        lot = int(total[::97].sum()) % 8
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SLICES), pa.int32()), pa.array([lot] * SLICES, pa.int32()), pa.array([zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)], pa.binary())],
             ["slice", "lot", "counts"],
@@ -109,9 +112,9 @@ def prefix_rows(column: pa.Array, k: int, percent: int, levels: np.ndarray, powe
         most = max(1, min(MOST_MATCHES, need))
         long = min(n, n - need + most)
         # Entries read for L, and the candidates that they can make, each of which costs a verification.
-        df = np.exp2(lev[order[:long]].astype(np.float64)) - 1.0
+        df = np.exp2(lev[order[:long]].astype(np.float64)) - 1.0 + CHANCE
         ahead = np.concatenate([[0.0], np.cumsum(df)])
-        cost = [ahead[min(n, n - need + m)] * (1.0 + (n / 64.0) / m) + 0.05 * m for m in range(1, most + 1)]
+        cost = [m + ahead[min(n, n - need + m)] * (1.0 + n / 64.0 * LEFT ** (m - 1)) for m in range(1, most + 1)]
         both = np.array([x.sum(), np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29)))], np.uint64).view(np.int64)
         yield n, int(both[0]), int(both[1]), int(np.argmin(cost)) + 1, ranked[:long].view(np.int64)
 
@@ -146,8 +149,8 @@ def _set_table(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, as (a, b, ok)."""
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), with ok where their whole sets link."""
 
     def run(batches):
         for b in batches:
@@ -161,6 +164,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(_set_table(texts, "doc_id", "text", k), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
@@ -203,10 +209,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     best = Window.partitionBy("d").orderBy(F.desc("c"), "a", "b")
     stars = stars.where("c >= need").withColumn("r", F.row_number().over(best)).where(F.col("r") <= star_rounds).select("a", "b").distinct()
     stars = written(stars, "stars")
-    ids = lists.select(F.col("d").alias("doc_id")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(_set_table(texts, "doc_id", "text", k), "sets")
-    first = written(_verified(stars, sets, percent), "links")
+    release(spark)
+    first = written(_verified(stars, docs, doc_id, text, k, percent), "links")
+    release(spark)
     comp = written(components(first.where("ok"), "a", "b"), "parts")
 
     # Every other pair that its prefixes admit and that is not in one component yet.
@@ -229,7 +234,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
     pairs = written(pairs, "pairs")
-    second = _verified(pairs, sets, percent)
+    release(spark)
+    second = written(_verified(pairs, docs, doc_id, text, k, percent), "links")
+    release(spark)
     links = first.where("ok").select("a", "b").union(second.where("ok").select("a", "b"))
     comp = components(links, "a", "b").withColumnRenamed("node", "rep")
     comp = classes.join(comp, "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))

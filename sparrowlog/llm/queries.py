@@ -8,11 +8,48 @@ from pyspark.sql import functions as F
 from ._common import table
 
 
+def _rest(n: int) -> str:
+    """The fold of a row: crc32 of its doc_id as text, modulo n (a null id counts as empty text)."""
+    return f"crc32(coalesce(cast(doc_id as string), '')) % {n}"
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op4_jaccard_join": op4_jaccard_join}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import learn, predict
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr(f"{_rest(3)} = 1"))
+    model = learn(docs.where("not held_out"))
+    return predict(docs, model, keep=("doc_id", "held_out"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr(f"{_rest(5)} = 0"))
+    model = learn(docs, table(spark, sf_dir, "labels"), allowed=f"{_rest(5)} <> 0")
+    return score(docs, model, keep=("doc_id", "held_out"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also near_docs: for every 50th document, how many others have a fingerprint within 3 bits; null for the rest."""
+    from .simhash import edited, fingerprints, hex_of, likeness, text_key, with_next
+
+    rows = edited(with_next(table(spark, sf_dir, "documents")))
+    prints = fingerprints(rows.select(F.explode(F.array("text", "edited")).alias("text")))
+    keys = [k.alias(f"{c}{i}") for c, t in (("t", "text"), ("e", "edited"), ("n", "next_text")) for i, k in enumerate(text_key(t), 1)]
+    out = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *keys)
+    for c in "ten":
+        out = out.join(prints.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("f1").alias(f"{c}f1"), F.col("f2").alias(f"{c}f2")), [f"{c}1", f"{c}2"])
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", hex_of("tf1", "tf2").alias("fingerprint"), hex_of("ef1", "ef2").alias("edited_fingerprint"),
+        likeness(("tf1", "tf2"), ("ef1", "ef2")).alias("near_edited"), likeness(("tf1", "tf2"), ("nf1", "nf2")).alias("near_next"),
+    )
+
+
+QUERIES = {"op7_simhash": op7_simhash, "op2_toxicity": op2_toxicity, "op8_language_id": op8_language_id, "op4_jaccard_join": op4_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}
