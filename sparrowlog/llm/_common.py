@@ -55,6 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int, str]:
+    """What a kernel reads: ``keep``'s columns and the text, sent once; where the text stands; and the kept columns' types."""
+    names = list(keep)
+    df = docs.select(*names) if text in names else docs.select(*names, F.col(text).alias("text_of_it"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes[: len(names)])
+    return df, names.index(text) if text in names else len(names), kinds
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go once the driver has collected the plans that made them; a long job asks for that between its parts."""
     gc.collect()

@@ -5,22 +5,25 @@ sets are ordered alike: shingles that are rare in the corpus first.  Two sets
 of Jaccard similarity t share at least L shingles among the first
 ``n - ceil(t n) + L`` of each.  A longer prefix costs more list entries but
 demands more matches; every document picks the L that its own lists make
-cheapest.  Pairs that match L times are then verified on their whole sets.
-
-Documents with the same set are one class, joined once.  Large groups of near
-copies are not expanded into pairs: documents are first linked to the leading
-document of their lists, and only pairs that are not yet in one component are
-compared afterwards.  No list, candidate or partner is dropped, so no
-component is lost.
+cheapest.
+
+Frequencies are exact for all shingles whose hash lies in a region wide enough
+for most prefixes; those come first, rare ones ahead, and the others follow by
+hash.  Documents with the same set are one class, joined once.
+
+Short lists are joined to pairs, which are counted and must match L times.  The
+documents of a long list become one cluster, named after its first document,
+so that large groups of near copies are never expanded into pairs.  A cluster's
+whole sets are intersected together in one kernel, which returns a spanning
+forest of the links; a large cluster is dealt into blocks, and every two blocks
+meet.  No list, candidate or partner is dropped, so no component is lost.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +31,15 @@ from pyspark.sql import functions as F
 from ._common import components, release, written
 from ._text import Powers, byte_codes, chunks, shingles, space_table, span_hashes, utf8, word_bounds
 
-#: Buckets of the frequency sketch (a power of two), and slices in which it is summed.
-SKETCH_BITS = 21
-SLICES = 16
-#: Estimates behind a document's choice of L: other documents that share a usual shingle by chance,
-#: and the part of candidates that each further match leaves.
-CHANCE, LEFT = 0.1, 0.5
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
+#: Lists of at most so many documents are joined to pairs; blocks of a cluster.
+SHORT, BLOCK = 4, 2048
+#: How much wider than a prefix the region of exact frequencies is.
+WIDTH = 1.7
+#: Estimates behind a document's choice of L: what a verification costs in list entries for a shingle of the set,
+#: and the part of candidates that each further match leaves.
+VERIFY, LEFT = 1 / 64, 0.5
 
 
 def _sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:
@@ -50,129 +54,94 @@ def _sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:
             yield np.unique(made[at[d] : at[d + 1]])
 
 
-def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """For each bucket of shingle hashes, how often its shingles stand in a document.
-
-    The size is fixed: SKETCH_BITS bounds what a task holds, what is summed
-    and what is broadcast.  It only orders shingles and estimates costs.
-    """
-    mask, width = np.uint64((1 << SKETCH_BITS) - 1), (1 << SKETCH_BITS) // SLICES
-
-    def count(batches):
-        total, powers = np.zeros(1 << SKETCH_BITS, np.int64), Powers()
-        held, n = [], 0
-        for b in batches:
-            for x in _sets(b.column(0), k, powers):
-                held.append((x & mask).astype(np.int64))
-                n += len(x)
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        lot = int(total[::97].sum()) % 8
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([lot] * SLICES, pa.int32()), pa.array([zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)], pa.binary())],
-            ["slice", "lot", "counts"],
-        )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.int64)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "lot": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    kind = "slice int, lot int, counts binary"
-    parts = docs.select(F.col(text)).mapInArrow(count, kind)
-    parts = parts.groupBy("slice", "lot").applyInPandas(add, kind).groupBy("slice").applyInPandas(add, kind)
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.toLocalIterator():  # SLICES rows
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return out
-
-
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """How much heavier than usual a bucket is: 0 for the many usual ones, then a power of two each."""
-    usual = max(1.0, float(counts.mean()))
-    return np.ceil(np.log2(np.maximum(counts / (2 * usual), 1.0))).astype(np.uint8)
-
-
-def prefix_rows(column: pa.Array, k: int, percent: int, levels: np.ndarray, powers: Powers) -> Iterator[tuple]:
-    """(size, signature, L, prefix) of each text; the prefix has its longest form."""
-    mask = np.uint64(len(levels) - 1)
-    for x in _sets(column, k, powers):
-        n = len(x)
-        if n == 0:
-            yield 0, 0, 0, 0, x.view(np.int64)
-            continue
-        lev = levels[(x & mask).astype(np.int64)]
-        order = np.lexsort((x, lev))
-        ranked = x[order]
-        need = (percent * n + 99) // 100  # the least overlap of a linked pair
-        most = max(1, min(MOST_MATCHES, need))
-        long = min(n, n - need + most)
-        # Entries read for L, and the candidates that they can make, each of which costs a verification.
-        df = np.exp2(lev[order[:long]].astype(np.float64)) - 1.0 + CHANCE
-        ahead = np.concatenate([[0.0], np.cumsum(df)])
-        cost = [m + ahead[min(n, n - need + m)] * (1.0 + n / 64.0 * LEFT ** (m - 1)) for m in range(1, most + 1)]
-        both = np.array([x.sum(), np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29)))], np.uint64).view(np.int64)
-        yield n, int(both[0]), int(both[1]), int(np.argmin(cost)) + 1, ranked[:long].view(np.int64)
-
-
-def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, levels) -> DataFrame:
-    """A row for each document; ``levels``: a broadcast."""
+def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """A row for each document: its set's size and signature, and what of it may be in its prefix: ``n_region`` shingles of the region, then others, both by hash."""
+    region = np.uint64(min(1.0, WIDTH * (100 - percent) / 100) * (2**64 - 1))
 
     def run(batches):
         powers = Powers()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                rows = list(prefix_rows(part.column(1), k, percent, levels.value, powers))
-                pre = [r[4] for r in rows]
-                off = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
+                rows, tokens = [], []
+                for x in _sets(part.column(1), k, powers):
+                    n = len(x)
+                    inside = int(np.searchsorted(x, region, "right"))
+                    long = min(n, n - (percent * n + 99) // 100 + MOST_MATCHES)
+                    tokens.append(x[: max(inside, long)].view(np.int64))
+                    sig = np.array([x.sum(), np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29)))] if n else [0, 0], np.uint64).view(np.int64)
+                    rows.append((n, int(sig[0]), int(sig[1]), inside))
+                off = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.int32()))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(pre), pa.int64()))],
-                    ["doc_id", "n", "sig1", "sig2", "matches", "prefix"],
+                    [part.column(0), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.ListArray.from_arrays(off, pa.array(np.concatenate(tokens), pa.int64()))],
+                    ["doc_id", "n", "sig1", "sig2", "n_region", "tokens"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, matches int, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, n_region long, tokens array<long>")
 
 
-def _set_table(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+def _set_table(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         powers = Powers()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), k, powers)], pa.binary())], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), k, powers)], pa.binary())], ["d", "items"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(run, "d long, items binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b), with ok where their whole sets link."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of linked documents that connect all that links connect among ``sets``.
 
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(_set_table(texts, "doc_id", "text", k), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
-
-
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, star_rounds: int = 2) -> DataFrame:
+    One document is intersected with all others at a time, by the lists of its
+    items.  A document needs its turn only while it is outside of the largest
+    component: a link from there is found from its other end.
+    """
+    size = np.array([len(x) for x in sets])
+    items, at = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(at, kind="stable")
+    lists, begin = doc[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(items)))])
+    own = np.concatenate([[0], np.cumsum(size)])
+    part = np.arange(len(sets))
+    count = np.ones(len(sets), np.int64)
+    out = []
+    for d in range(len(sets)):
+        if count[part[d]] == count.max() and count[part[d]] > 1:
+            continue
+        t = at[own[d] : own[d + 1]]
+        n = begin[t + 1] - begin[t]
+        ends = np.cumsum(n)
+        met = lists[np.repeat(begin[t] - (ends - n), n) + np.arange(ends[-1])]
+        both = np.bincount(met, minlength=len(sets))
+        linked = np.flatnonzero((100 * both >= percent * (size[d] + size - both)) & (part != part[d]))
+        for p, first in zip(*np.unique(part[linked], return_index=True)):
+            out.append((int(ids[d]), int(ids[linked[first]])))
+            count[part[d]] += count[p]
+            count[p] = 0
+            part[part == p] = part[d]
+    return out
+
+
+def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """(token, d, n, matches, layer): the entries of each document's longest prefix, with the least L whose prefix has them, and the document's choice of L."""
+    by_doc = Window.partitionBy("d")
+    rare_first = by_doc.orderBy("far", F.when(F.col("far"), 0).otherwise(F.col("df")), "token")
+    e = shared.withColumn("far", F.col("at") >= F.col("n_region")).withColumn("need", F.expr(f"({percent} * n + 99) div 100"))
+    # In the region a document's own shingles come first, then shared ones as ranked here; beyond it the place by hash holds.
+    alone = F.col("n_region") - F.sum((~F.col("far")).cast("int")).over(by_doc)
+    place = F.when(F.col("far"), F.col("at")).otherwise(alone + F.row_number().over(rare_first) - 1)
+    e = e.withColumn("layer", F.greatest(F.lit(1), (place + 1 - (F.col("n") - F.col("need"))).cast("int"))).where(F.col("layer") <= F.least(F.lit(MOST_MATCHES), F.col("need")))
+    costs = [
+        F.struct((F.lit(float(m)) + F.sum(F.when(F.col("layer") <= m, F.col("df") - 1).otherwise(0)).over(by_doc) * (1 + F.col("n") * VERIFY * LEFT ** (m - 1))).alias("cost"), F.lit(m).alias("m"))
+        for m in range(1, MOST_MATCHES + 1)
+    ]
+    best = F.array_min(F.slice(F.array(*costs), F.lit(1), F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("need"))).cast("int")))
+    return e.withColumn("matches", best["m"]).select("token", "d", "n", "matches", "layer")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
@@ -182,62 +151,47 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     its own null component.
     """
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_levels(_sketch(docs, text, k)))
-    profiles = written(_profiles(docs, doc_id, text, k, percent, levels), "profiles")
+    profiles = written(_profiles(docs, doc_id, text, k, percent), "profiles")
     # One representative of each class of equal sets: the row of the smallest id.
     named = profiles.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"))
-    classes = written(reps, "classes")
-    lists = (
-        named.join(classes, ["sig1", "sig2"])
-        .where("doc_id = rep")
-        .dropDuplicates(["doc_id", "sig1", "sig2"])
-        .select(F.col("doc_id").alias("d"), F.col("n"), "matches", F.posexplode("prefix").alias("at", "token"))
-        # the least L whose prefix has this entry
-        .withColumn("layer", F.greatest(F.lit(1), (F.col("at") + 1 - (F.col("n") - F.expr(f"({percent} * n + 99) div 100"))).cast("int")))
-        .select("token", "d", F.struct(F.col("n").cast("int").alias("n"), "matches", "layer").alias("p"))
-    )
+    classes = written(named.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
+    entries = (
+        named.join(classes, ["sig1", "sig2"]).where("doc_id = rep").dropDuplicates(["sig1", "sig2", "doc_id"])
+        .select(F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), F.col("n_region").cast("int").alias("n_region"), F.posexplode("tokens").alias("at", "token"))
+    )
     by_token = Window.partitionBy("token")
-    lists = lists.withColumn("head", F.min("d").over(by_token)).withColumn("tail", F.max("d").over(by_token)).where("head < tail")
-    lists = written(lists.select("token", "d", "head", "tail", "p.*"), "lists")
-
-    # Links to the first and the last document of each list.
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    heads = lists.select("d", F.explode(F.array("head", "tail")).alias("h"), "matches").where("d != h")
-    stars = heads.groupBy(F.least("d", "h").alias("a"), F.greatest("d", "h").alias("b"), "d").agg(F.count("*").alias("c"), F.first("matches").alias("need"))
-    # A document tries the heads that it shares most with; what this leaves out is compared below.
-    best = Window.partitionBy("d").orderBy(F.desc("c"), "a", "b")
-    stars = stars.where("c >= need").withColumn("r", F.row_number().over(best)).where(F.col("r") <= star_rounds).select("a", "b").distinct()
-    stars = written(stars, "stars")
+    # Shingles of one document alone link nothing; they only take up the beginnings of prefixes.
+    shared = written(entries.withColumn("df", F.count("*").over(by_token)).where("df > 1"), "shared")
     release(spark)
-    first = written(_verified(stars, docs, doc_id, text, k, percent), "links")
-    release(spark)
-    comp = written(components(first.where("ok"), "a", "b"), "parts")
-
-    # Every other pair that its prefixes admit and that is not in one component yet.
-    now = (
-        lists.drop("head", "tail").join(comp.withColumnRenamed("node", "d"), "d", "left")
-        .withColumn("part", F.coalesce("component", "d")).drop("component")
-    )
-    mixed = now.groupBy("token").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("token")
-    now = now.join(mixed, "token")
-    x = now.select("token", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "matches", "layer", "part")))
-    y = now.select("token", *(F.col(c).alias(f"y_{c}") for c in ("d", "n", "layer", "part")))
-    # the later document is the prober and fixes L
+    lists = written(_prefixes(shared, percent), "lists")
+    counted = lists.withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token))
+    long = counted.where(f"c > {SHORT}").select("head", "d").distinct()
+    short = counted.where(f"c between 2 and {SHORT}")
+    x = short.select("token", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "matches", "layer")))
+    y = short.select("token", *(F.col(c).alias(f"y_{c}") for c in ("d", "n", "layer")))
+    # The later document asks, and fixes L.  A pair that also meets in a long list is in its cluster.
     pairs = (
         x.join(y, "token")
-        .where("x_d > y_d and x_part != y_part and x_layer <= x_matches and y_layer <= x_matches")
-        .where(fits.replace("least(n, m)", "least(x_n, y_n)").replace("greatest(n, m)", "greatest(x_n, y_n)"))
-        .groupBy(F.col("y_d").alias("a"), F.col("x_d").alias("b"))
-        .agg(F.count("*").alias("c"), F.first("x_matches").alias("need"))
-        .where("c >= need").select("a", "b")
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    pairs = written(pairs, "pairs")
+        .where(f"x_d > y_d and x_layer <= x_matches and y_layer <= x_matches and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+        .groupBy(F.col("y_d").alias("a"), F.col("x_d").alias("b")).agg(F.count("*").alias("c"), F.max("x_matches").alias("need"))
+        .where("c >= need").select(F.col("a").alias("head"), F.explode(F.array("a", "b")).alias("d"))
+    )
+    members = written(long.union(pairs).distinct(), "members")
     release(spark)
-    second = written(_verified(pairs, docs, doc_id, text, k, percent), "links")
+    ids = members.select("d").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).join(ids, "d", "left_semi").dropDuplicates(["d"])
+    sets = written(_set_table(texts, k), "sets")
+    release(spark)
+    blocks = members.groupBy("head").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "head").withColumn("own", F.expr("cast(pmod(xxhash64(d), blocks) as int)"))
+    dealt = dealt.select("head", "d", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))")).alias("pair"))
+
+    def link(t: pa.Table) -> pa.Table:
+        found = forest(t["d"].to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in t["items"]], percent)
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    links = written(dealt.join(sets, "d").groupBy("head", "pair").applyInArrow(link, "a long, b long"), "links")
     release(spark)
-    links = first.where("ok").select("a", "b").union(second.where("ok").select("a", "b"))
     comp = components(links, "a", "b").withColumnRenamed("node", "rep")
     comp = classes.join(comp, "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))
     return (

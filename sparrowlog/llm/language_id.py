@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import with_text
 from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
 
 #: Bytes of an n-gram, bits of a slot's index, slots for each n-gram.
@@ -149,10 +150,9 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: t
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                langs, scores = predict_batch(part.column(part.num_columns - 1), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+                langs, scores = predict_batch(part.column(at), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
-    source = docs.select(*keep, F.col(text).alias("text_of_it"))
+    source, at, kinds = with_text(docs, keep, text)
     names = list(keep)
-    kinds = [f"`{c}` {t}" for c, t in source.select(*keep).dtypes]
-    return source.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")

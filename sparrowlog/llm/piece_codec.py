@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import with_text
 from ._text import Powers, chunks, mix, utf8
 
 SPACE = 0x2581  # the sign that stands for a space within pieces
@@ -302,14 +303,13 @@ def encode(docs: DataFrame, model: PieceTable, text: str = "text", keep: tuple[s
         lattice = Lattice(shared.value)
         for b in batches:
             lo = 0
-            for ids, off in lattice.encode(b.column(b.num_columns - 1)):
+            for ids, off in lattice.encode(b.column(at)):
                 n = len(off) - 1
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in b.columns[:-1]), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))], [*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in b.columns[: len(names)]), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))], [*names, "ids"])
                 lo += n
 
-    source = docs.select(*keep, F.col(text).alias("text_of_it"))
-    kinds = [f"`{c}` {t}" for c, t in source.select(*keep).dtypes]
-    return source.mapInArrow(run, ", ".join([*kinds, "ids array<int>"]))
+    source, at, kinds = with_text(docs, keep, text)
+    return source.mapInArrow(run, f"{kinds}, ids array<int>")
 
 
 def decode_batch(column: pa.Array, raw: np.ndarray, at: np.ndarray, size: np.ndarray, dummy: bool) -> list[str]:

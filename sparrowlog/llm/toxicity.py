@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import with_text
 from ._text import byte_grams, chunks, letter_stream, letter_table, mix, utf8
 
 #: Bytes of the n-grams.
@@ -206,9 +207,8 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[st
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                s = score_batch(part.column(part.num_columns - 1), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+                s = score_batch(part.column(at), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    source = docs.select(*keep, F.col(text).alias("text_of_it"))
-    kinds = [f"`{c}` {t}" for c, t in source.select(*keep).dtypes]
-    return source.mapInArrow(run, ", ".join([*kinds, "score double", "predicted int"]))
+    source, at, kinds = with_text(docs, keep, text)
+    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
