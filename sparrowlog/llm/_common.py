@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, model):
+    """A broadcast of a model of this package, class and all, for executors that lack the package; call it in a task."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(data.value)
+
+
 def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int, str]:
     """What a kernel reads: ``keep``'s columns and the text, sent once; where the text stands; and the kept columns' types."""
     names = list(keep)

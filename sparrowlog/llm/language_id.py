@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import with_text
+from ._common import sent, with_text
 from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
 
 #: Bytes of an n-gram, bits of a slot's index, slots for each n-gram.
@@ -144,13 +144,14 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: t
     without a known n-gram gets the first language with score 0.  Ties go to
     the first language.  Any length of text is read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def run(batches):
+        own = shared()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                langs, scores = predict_batch(part.column(at), shared.value)
+                langs, scores = predict_batch(part.column(at), own)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
     source, at, kinds = with_text(docs, keep, text)

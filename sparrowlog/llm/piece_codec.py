@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import with_text
+from ._common import sent, with_text
 from ._text import Powers, chunks, mix, utf8
 
 SPACE = 0x2581  # the sign that stands for a space within pieces
@@ -296,11 +296,11 @@ class Lattice:
 
 def encode(docs: DataFrame, model: PieceTable, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``'s columns with ``ids array<int>`` for each row; a null or empty text has an empty array."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     names = list(keep)
 
     def run(batches):
-        lattice = Lattice(shared.value)
+        lattice = Lattice(shared())
         for b in batches:
             lo = 0
             for ids, off in lattice.encode(b.column(at)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import with_text
+from ._common import sent, with_text
 from ._text import byte_grams, chunks, letter_stream, letter_table, mix, utf8
 
 #: Bytes of the n-grams.
@@ -200,14 +200,15 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[st
     A null text counts as empty.  Every text is read whole; its own label,
     language, source and key play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     names = list(keep)
 
     def run(batches):
+        own = shared()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                s = score_batch(part.column(at), shared.value)
+                s = score_batch(part.column(at), own)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     source, at, kinds = with_text(docs, keep, text)
