@@ -128,5 +128,6 @@ def record_text(header: str = "header", block: str = "block") -> Column:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Files of records, gzipped, each task its own."""
-    records.select(record_text().alias("value")).write.option("lineSep", "").option("compression", "gzip").text(path)
+    """Files of records, gzipped, each task its own; the separator of lines is the last character of a record."""
+    whole = record_text()
+    records.select(F.substring(whole, 1, F.char_length(whole) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
