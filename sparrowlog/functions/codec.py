@@ -56,6 +56,16 @@ def runs_of(done: np.ndarray) -> list[int]:
     return [0, *runs] if done[0] else runs
 
 
+def runs_with_gaps(marks: Iterable[tuple[int, bool]]) -> list[int]:
+    """Run lengths of (offset, complete) in order; offsets that are not there belong to the run before them."""
+    marks = list(marks)
+    if not marks:
+        return []
+    offs = np.array([o for o, _ in marks])
+    done = np.array([d for _, d in marks])
+    return runs_of(np.repeat(done, np.diff(np.append(offs, offs[-1] + 1))))
+
+
 def encode_body(name: str, done: np.ndarray) -> bytes | None:
     """The bytes of a plain encoding; None where it cannot hold the range."""
     n = len(done)
