@@ -35,6 +35,8 @@ from ._text import Powers, byte_codes, chunks, shingles, space_table, span_hashe
 MOST_MATCHES = 6
 #: Lists of at most so many documents are joined to pairs; blocks of a cluster.
 SHORT, BLOCK = 4, 2048
+#: Most bits, as a power of two, of the map of documents whose sets are read.
+MAP_BITS = 28
 #: How much wider than a prefix the region of exact frequencies is.
 WIDTH = 1.7
 #: Estimates behind a document's choice of L: what a verification costs in list entries for a shingle of the set,
@@ -80,15 +82,34 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, n_region long, tokens array<long>")
 
 
-def _set_table(docs: DataFrame, k: int) -> DataFrame:
+def _set_table(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
+    """(d, items): whole sets of the documents in ``wanted`` (d), and of a few more.
+
+    A bitmap of hashed ids tells in the scan which texts to read, so that texts are
+    not shuffled.  Its size is bounded by MAP_BITS; where it fills up, more sets are
+    made than wanted, which the next join drops.
+    """
+    spark = docs.sparkSession
+    bits = 1 << min(MAP_BITS, max(20, (16 * wanted.count()).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = wanted.select((spot("d") + 1).alias("s"))  # bitmap functions count from 1
+    marks = marks.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    found = np.zeros(bits // 8 + 4096, np.uint8)
+    for r in marks.toLocalIterator():  # at most bits / 32768 rows of 4 KB
+        found[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(found)
+
     def run(batches):
         powers = Powers()
         for b in batches:
+            s = b.column(2).to_numpy()
+            b = b.filter(pa.array((shared.value[s // 8] >> (s % 8).astype(np.uint8)) & 1 == 1))
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), k, powers)], pa.binary())], ["d", "items"])
 
-    return docs.mapInArrow(run, "d long, items binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("d is not null")
+    return rows.withColumn("s", spot("d")).mapInArrow(run, "d long, items binary")
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -147,7 +168,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
     sets of ``k``-word shingles (A-Z lower-cased; words split at ASCII white
     space).  A null or blank text has an empty set and links with nothing.
-    Repeated rows each get a row.  Extra columns are ignored.  A null id gets
+    Repeated rows each get a row, and rows of one id are one document when links are followed.  Extra columns are ignored.  A null id gets
     its own null component.
     """
     spark = docs.sparkSession
@@ -178,10 +199,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     members = written(long.union(pairs).distinct(), "members")
     release(spark)
-    ids = members.select("d").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).join(ids, "d", "left_semi").dropDuplicates(["d"])
-    sets = written(_set_table(texts, k), "sets")
-    release(spark)
+    sets = written(_set_table(docs, doc_id, text, members.select("d").distinct(), k), "sets")
     blocks = members.groupBy("head").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
     dealt = members.join(blocks, "head").withColumn("own", F.expr("cast(pmod(xxhash64(d), blocks) as int)"))
     dealt = dealt.select("head", "d", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))")).alias("pair"))
