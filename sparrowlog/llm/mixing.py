@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import written
+
 #: Slots in a row before they are exploded.
 RUN = 1 << 16
 
@@ -196,7 +198,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     of their own.  Reruns draw the same.
     """
     spark = docs.sparkSession
-    rows = streams(docs, doc_id, text, source)
+    rows = written(streams(docs, doc_id, text, source), "streams")  # read several times below, and without texts
     totals = [(r[0], int(r[1] or 0)) for r in rows.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
     found = recipe(totals, weights, share, most, block, seed)
     names = spark.createDataFrame([(s.name, i) for i, s in enumerate(found)], "name string, src int")
