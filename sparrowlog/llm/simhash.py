@@ -41,7 +41,8 @@ def fingerprints(texts: DataFrame, text: str = "text") -> DataFrame:
     has one empty term.
     """
     k1, k2 = text_key(text)
-    t = texts.select(k1.alias("k1"), k2.alias("k2"), F.explode(F.expr(_terms(text))).alias("t"))
+    # Keys first: beside the explode they would be computed for every term.
+    t = texts.select(k1.alias("k1"), k2.alias("k2"), F.expr(_terms(text)).alias("terms")).select("k1", "k2", F.explode("terms").alias("t"))
     t = t.select("k1", "k2", F.expr("1L + (t & 1L)").alias("w"), F.expr("xxhash64(t, 11)").alias("h1"), F.expr("xxhash64(t, 23)").alias("h2"))
     sums = [F.expr(f"sum(w * (shiftrightunsigned({h}, {i}) & {LANES}L))").alias(f"{h}_{i}") for h in ("h1", "h2") for i in range(32)]
     votes = t.groupBy("k1", "k2").agg(F.sum("w").alias("w"), *sums)
