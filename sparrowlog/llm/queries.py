@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 
 
 def _rest(n: int) -> str:
@@ -37,7 +37,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also near_docs: for every 50th document, how many others have a fingerprint within 3 bits; null for the rest."""
-    from .simhash import edited, fingerprints, hex_of, likeness, text_key, with_next
+    from .simhash import edited, fingerprints, hex_of, likeness, text_key, with_next, within_radius
 
     rows = edited(with_next(table(spark, sf_dir, "documents")))
     prints = fingerprints(rows.select(F.explode(F.array("text", "edited")).alias("text")))
@@ -45,9 +45,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *keys)
     for c in "ten":
         out = out.join(prints.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("f1").alias(f"{c}f1"), F.col("f2").alias(f"{c}f2")), [f"{c}1", f"{c}2"])
-    return out.select(
+    out = written(out.drop(*(f"{c}{i}" for c in "ten" for i in (1, 2))), "fingerprints")
+    base = out.groupBy(F.col("tf1").alias("f1"), F.col("tf2").alias("f2")).agg(F.count("*").alias("n"))
+    asks = out.where("doc_id % 50 = 0").select(F.col("tf1").alias("f1"), F.col("tf2").alias("f2"))
+    near = within_radius(asks, base, radius=3).join(base, ["f1", "f2"]).groupBy(F.col("q1").alias("tf1"), F.col("q2").alias("tf2")).agg((F.sum("n") - 1).alias("near"))
+    return out.join(near, ["tf1", "tf2"], "left").select(
         "doc_id", "n_chars", "edited_sha256", hex_of("tf1", "tf2").alias("fingerprint"), hex_of("ef1", "ef2").alias("edited_fingerprint"),
-        likeness(("tf1", "tf2"), ("ef1", "ef2")).alias("near_edited"), likeness(("tf1", "tf2"), ("nf1", "nf2")).alias("near_next"),
+        likeness(("tf1", "tf2"), ("ef1", "ef2")).alias("near_edited"), likeness(("tf1", "tf2"), ("nf1", "nf2")).alias("near_next"), F.expr("if(doc_id % 50 = 0, near, null)").alias("near_docs"),
     )
 
 
