@@ -25,6 +25,8 @@ from .url_filters import host_of
 
 #: Tokens of a run, pages it must be on, pages of a lot on average.
 RUN, PAGES, LOT = 8, 3, 512
+#: Copies of a host's row that its pages are dealt between.
+SALT = 32
 
 # Fixed values of HTML.
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|button|head|title|audio|video|map"
@@ -206,7 +208,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(body).alias("html"))
     blocks = rows.mapInArrow(parse, "key long, url string, host string, texts array<string>, flags array<boolean>")
     lots = rows.groupBy("host").agg((F.floor(F.count("*") / LOT) + 1).cast("int").alias("lots"))
-    blocks = blocks.join(lots, "host").withColumn("lot", F.expr("cast(pmod(xxhash64(key, url), lots) as int)"))
+    # A frequent host's pages are dealt between copies of its row.
+    lots = lots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    blocks = blocks.withColumn("salt", F.expr(f"cast(pmod(xxhash64('salt', key, url), {SALT}) as int)")).join(lots, ["host", "salt"])
+    blocks = blocks.withColumn("lot", F.expr("cast(pmod(xxhash64(key, url), lots) as int)")).select("key", "url", "host", "lot", "texts", "flags")
 
     def run(t: pa.Table) -> pa.Table:
         pages = [list(zip(x, m)) for x, m in zip(t["texts"].to_pylist(), t["flags"].to_pylist())]
