@@ -116,8 +116,10 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     """Pairs of linked documents that connect all that links connect among ``sets``.
 
     One document is intersected with all others at a time, by the lists of its
-    items.  A document needs its turn only while it is outside of the largest
-    component: a link from there is found from its other end.
+    items.  A document that is in a largest component when its turn comes is put
+    off.  Largest components change and tie, so of those put off, all outside of
+    one component have their turn at the end: a link between two documents without
+    a turn lies within that component.
     """
     size = np.array([len(x) for x in sets])
     items, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -128,9 +130,8 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     part = np.arange(len(sets))
     count = np.ones(len(sets), np.int64)
     out = []
-    for d in range(len(sets)):
-        if count[part[d]] == count.max() and count[part[d]] > 1:
-            continue
+
+    def turn(d: int) -> None:
         t = at[own[d] : own[d + 1]]
         n = begin[t + 1] - begin[t]
         ends = np.cumsum(n)
@@ -142,6 +143,18 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
             count[part[d]] += count[p]
             count[p] = 0
             part[part == p] = part[d]
+
+    late = []
+    for d in range(len(sets)):
+        if count[part[d]] == count.max() and count[part[d]] > 1:
+            late.append(d)
+        else:
+            turn(d)
+    if late:
+        kept = late[int(np.argmax(np.bincount(part[late])[part[late]]))]  # of the component with most of them
+        for d in late:
+            if part[d] != part[kept]:
+                turn(d)
     return out
 
 

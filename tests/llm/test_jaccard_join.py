@@ -1,8 +1,10 @@
+import random
 import re
 
+import numpy as np
 from pyspark.sql import Row
 
-from sparrowlog.llm.jaccard_join import jaccard_components
+from sparrowlog.llm.jaccard_join import forest, jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +63,37 @@ def test_repeated_rows_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in jaccard_components(df).collect()))) == ["(1, 2, 1)", "(1, 2, 1)", "(2, 2, 1)", "(None, 2, 1)"]
     assert jaccard_components(df.limit(0)).collect() == []
+
+
+def joined(n, edges):
+    part = list(range(n))
+    for a, b in edges:
+        part = [part[a] if p == part[b] else p for p in part]
+    return {frozenset(i for i in range(n) if part[i] == p) for p in part}
+
+
+def test_forest_links_components_that_tie():
+    # Windows over a line link with their neighbours only: A-B-D-C, in the order A, B, C, D.
+    windows = [np.arange(i, i + 20).astype(np.uint64) for i in (0, 1, 3, 2)]
+    assert joined(4, forest(np.arange(4), windows, 85)) == {frozenset(range(4))}
+    rng = random.Random(3)
+    for _ in range(200):
+        at = rng.sample(range(16), 11)
+        found = forest(np.arange(11), [np.arange(i, i + 20).astype(np.uint64) for i in at], 85)
+        assert joined(11, found) == joined(11, [(i, j) for i in range(11) for j in range(i) if abs(at[i] - at[j]) == 1])
+        assert len(found) == 11 - len(joined(11, found))
+
+
+def test_versions_that_drift(spark):
+    rng, rows = random.Random(4), []
+    for f in range(12):
+        words = [f"f{f}w{i}" for i in range(70)]
+        versions = []
+        for v in range(8):
+            words = [*words[1:], f"f{f}v{v}"]
+            versions.append(" ".join(words))
+        rows += versions
+    order = rng.sample(range(len(rows)), len(rows))
+    df = spark.createDataFrame([(i, rows[n]) for i, n in enumerate(order)], "doc_id long, text string")
+    got = {tuple(r) for r in jaccard_components(df, percent=95).collect()}
+    assert got == brute([(i, rows[n]) for i, n in enumerate(order)], 95)
