@@ -4,7 +4,7 @@ Pages are read into blocks.  The tokens of a host's pages are laid end to end
 and suffixes are sorted by their first RUN tokens; runs that start alike on
 several pages of different content are repeated.  Repeated runs beside the
 articles are boilerplate and are removed with whatever they cover; unique runs
-stay.  What stands in a page's marked article is boilerplate only if the same
+stay, whether a page has a marked article or not.  What stands in a page's marked article is boilerplate only if the same
 run mostly stands outside of articles: articles that many pages share are kept.
 
 A host of any number of pages is dealt into lots of bounded size by a hash;
@@ -157,7 +157,7 @@ def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
     tokens, page, beside, place = [], [], [], []
     contents: dict[tuple, int] = {}
     for p, blocks in enumerate(pages):
-        content = contents.setdefault(tuple(t for t, m in blocks if m) or tuple(t for t, _ in blocks), len(contents))
+        content = contents.setdefault(tuple(t for t, _ in blocks), len(contents))
         for b, (t, m) in enumerate(blocks):
             words = t.split(" ")
             tokens += [numbers.setdefault(w, len(numbers)) for w in words]
@@ -172,17 +172,15 @@ def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
         return []
     gone = repeated(np.array(tokens, np.int64), np.array(page, np.int64), np.array(beside, bool))
     kept: list[list[str]] = [[] for _ in pages]
-    marked = [any(m for _, m in blocks) for blocks in pages]
     at = 0
     for p, b, n in place:
         if b >= 0:
-            t, m = pages[p][b]
+            t, _ = pages[p][b]
             cut = gone[at : at + n]
-            if m or not marked[p]:  # beside a marked article nothing is main text
-                if cut.any():
-                    t = " ".join(w for w, c in zip(t.split(" "), cut) if not c)
-                if t:
-                    kept[p].append(t)
+            if cut.any():
+                t = " ".join(w for w, c in zip(t.split(" "), cut) if not c)
+            if t:
+                kept[p].append(t)
         at += n
     return ["\n\n".join(x) for x in kept]
 

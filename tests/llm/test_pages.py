@@ -35,6 +35,14 @@ def test_main_text(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_text_beside_an_article_is_kept_unless_repeated(spark):
+    story = [" ".join(f"s{i}x{j}" for j in range(30)) for i in range(4)]
+    line = "the same line of this site on each of its pages again"
+    rows = [(i, f"http://a.example/{i}", page(f"<div>{story[i]}</div><article><p>teaser</p></article><div>{line}</div>")) for i in range(4)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{story[i]}\n\nteaser" for i in range(4)}
+
+
 def test_intervals_and_as_of(spark):
     e = [("l", "domain", "x.org", "add", 5), ("l", "domain", "x.org", "add", 6), ("l", "domain", "x.org", "remove", 10), ("l", "domain", "x.org", "add", 20), ("m", "prefix", "x.org/a/", "add", 0), ("m", "word", "bad", "add", 3), ("m", "word", "bad", "remove", 3), (None, "word", "x", "add", 1)]
     entries = spark.createDataFrame(e, "list string, kind string, pattern string, action string, at int")
