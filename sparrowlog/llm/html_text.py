@@ -1,18 +1,23 @@
-"""Main text of web pages by a suffix array for each host.
+"""Main text of web pages by the runs that repeat over a host.
 
-Pages are read into blocks.  The tokens of a host's pages are laid end to end
-and suffixes are sorted by their first RUN tokens; runs that start alike on
-several pages of different content are repeated.  Repeated runs beside the
-articles are boilerplate and are removed with whatever they cover; unique runs
-stay, whether a page has a marked article or not.  What stands in a page's marked article is boilerplate only if the same
-run mostly stands outside of articles: articles that many pages share are kept.
+Pages are read into blocks, and a page's blocks are laid end to end.  Suffixes
+of a host's pages that start with the same RUN tokens are one run, known by a
+64-bit hash of the host and the tokens.  Runs on several pages of different
+content are repeated.  Repeated runs beside the articles are boilerplate and are
+removed with whatever they cover; unique runs stay, whether a page has a marked
+article or not.  What stands in a page's marked article is boilerplate only if
+the same run mostly stands outside of articles: articles that many pages share
+are kept.
 
-A host of any number of pages is dealt into lots of bounded size by a hash;
-boilerplate, which is frequent, shows in each of them.
+Runs are counted over the whole host, whatever its size.  Those that stand
+outside of an article somewhere are counted first; only they can be boilerplate,
+so a bitmap of them tells which runs inside are counted too.  Pages are parsed
+again for each of these steps rather than shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -21,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import release, written
+from ._text import Powers, byte_codes, mix, space_table, span_hashes, utf8, word_bounds
 from .url_filters import host_of
 
-#: Tokens of a run, pages it must be on, pages of a lot on average.
-RUN, PAGES, LOT = 8, 3, 512
-#: Copies of a host's row that its pages are dealt between.
-SALT = 32
+#: Tokens of a run, pages it must be on.
+RUN, PAGES = 8, 3
+#: Most bits, as a power of two, of a map of runs.
+MAP_BITS = 28
 
 # Fixed values of HTML.
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|button|head|title|audio|video|map"
@@ -116,104 +123,137 @@ def blocks_of(markup: str) -> list[tuple[str, bool]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, beside: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Which tokens a repeated run covers.
+def page_runs(blocks: list[tuple[str, bool]], host: int, codes: np.ndarray, space: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The run that starts at each token of a page, but the last RUN - 1, and whether it starts outside of an article."""
+    data, off = utf8(pa.array([t for t, _ in blocks], pa.string()))
+    s, e, block = word_bounds(data[off[0] : off[-1]], off - off[0], space)
+    n = len(s) - RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    words = span_hashes(data[off[0] : off[-1]], s, e, codes, powers)
+    run = np.full(n, host, np.int64).view(np.uint64)
+    for i in range(RUN):
+        run = mix(run + words[i : n + i])
+    return run.view(np.int64), ~np.array([m for _, m in blocks], bool)[block[:n]]
+
+
+def content_of(blocks: list[tuple[str, bool]]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in blocks).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def without(blocks: list[tuple[str, bool]], gone: np.ndarray) -> str:
+    """A page's text without the tokens that runs starting at ``gone`` cover."""
+    kept, at = [], 0
+    edges = np.zeros(sum(t.count(" ") + 1 for t, _ in blocks) + 1, np.int64)
+    np.add.at(edges, gone, 1)
+    np.add.at(edges, gone + RUN, -1)
+    cut = np.cumsum(edges) > 0
+    for t, _ in blocks:
+        words = t.split(" ")
+        t = " ".join(w for w, c in zip(words, cut[at : at + len(words)]) if not c)
+        at += len(words)
+        if t:
+            kept.append(t)
+    return "\n\n".join(kept)
+
+
+def _bitmap(runs: DataFrame, n: int):
+    """A broadcast bitmap of ``runs`` (run), of which there are ``n``, and its size; it may hold more where it fills up."""
+    bits = 1 << min(MAP_BITS, max(20, (16 * n).bit_length()))
+    marks = runs.select((F.pmod("run", F.lit(bits)) + 1).alias("s"))  # bitmap functions count from 1
+    marks = marks.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    found = np.zeros(bits // 8 + 4096, np.uint8)
+    for r in marks.toLocalIterator():  # at most bits / 32768 rows of 4 KB
+        found[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return runs.sparkSession.sparkContext.broadcast(found), bits
 
-    ``tokens``: numbers, page after page, a number of its own between pages;
-    ``page``: the content of the page that each stands in; ``beside``: whether it stands
-    outside of an article.  Suffixes are ranked by doubling up to ``run``
-    tokens; those of one rank start with the same run.
-    """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < run:
-        return covered
-    rank, step = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while step < run:
-        by = min(step, run - step)
-        key = rank[: n - by] * (int(rank.max()) + 1) + rank[by:] if by == step else rank[: n - by] * (int(rank.max()) + 1) + rank[by:]
-        tail = np.arange(n - by, n)  # too short to start a run: ranks of their own
-        ranked = np.unique(key, return_inverse=True)[1]
-        rank = np.concatenate([ranked, ranked.max() + 1 + np.arange(len(tail))])
-        step += by
-    suffixes = np.argsort(rank, kind="stable")
-    r = rank[suffixes]
-    group = np.cumsum(np.concatenate([[0], r[1:] != r[:-1]]))
-    pair = np.unique(group.astype(np.int64) * (int(page.max()) + 2) + page[suffixes] + 1)
-    on = np.bincount(pair // (int(page.max()) + 2), minlength=group[-1] + 1)
-    outside = np.bincount(group, weights=beside[suffixes], minlength=group[-1] + 1)
-    size = np.bincount(group, minlength=group[-1] + 1)
-    bad = (on >= pages) & (2 * outside >= size)
-    start = np.zeros(n + 1, np.int64)
-    s = suffixes[bad[group]]
-    np.add.at(start, s, 1)
-    np.add.at(start, np.minimum(s + run, n), -1)
-    return np.cumsum(start[:n]) > 0
-
-
-def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
-    """The main text of each page of a lot, from its blocks."""
-    numbers: dict[str, int] = {}
-    tokens, page, beside, place = [], [], [], []
-    contents: dict[tuple, int] = {}
-    for p, blocks in enumerate(pages):
-        content = contents.setdefault(tuple(t for t, _ in blocks), len(contents))
-        for b, (t, m) in enumerate(blocks):
-            words = t.split(" ")
-            tokens += [numbers.setdefault(w, len(numbers)) for w in words]
-            page += [content] * len(words)
-            beside += [not m] * len(words)
-            place.append((p, b, len(words)))
-        tokens.append(-1 - p)
-        page.append(content)
-        beside.append(False)
-        place.append((p, -1, 1))
-    if not tokens:
-        return []
-    gone = repeated(np.array(tokens, np.int64), np.array(page, np.int64), np.array(beside, bool))
-    kept: list[list[str]] = [[] for _ in pages]
-    at = 0
-    for p, b, n in place:
-        if b >= 0:
-            t, _ = pages[p][b]
-            cut = gone[at : at + n]
-            if cut.any():
-                t = " ".join(w for w, c in zip(t.split(" "), cut) if not c)
-            if t:
-                kept[p].append(t)
-        at += n
-    return ["\n\n".join(x) for x in kept]
+
+def _on(found: np.ndarray, bits: int, runs: np.ndarray) -> np.ndarray:
+    s = runs % bits
+    return (found[s // 8] >> (s % 8).astype(np.uint8)) & 1 == 1
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """(key, url, text, n_chars) for each row; text is empty where a page has none.
 
-    A null body is an empty page; a null URL is a host of its own.  Repeated
+    A null body is an empty page; null URLs are a host of their own.  Repeated
     rows are rows of their own; pages of equal content count once where pages
     of a run are counted.
     """
+    spark = pages.sparkSession
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.xxhash64(host_of(url), host_of(url).isNull()).alias("host"), F.col(body).alias("html"))
+    rows = rows.withColumn("row", F.xxhash64("host", "key", "url")).select("row", "host", "html", "key", "url")
+
+    def counts(inside: bool, found=None, bits: int = 0):
+        """(run, content, n) of the runs that start outside of articles, or of those on the map that start inside."""
+
+        def run(batches):
+            powers, codes, space = Powers(), byte_codes(), space_table()
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    made, content = [np.zeros(0, np.int64)], []
+                    for host, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                        blocks = blocks_of(x or "")
+                        if not any(m == inside for _, m in blocks):
+                            continue
+                        runs, beside = page_runs(blocks, host, codes, space, powers)
+                        runs = runs[beside != inside]
+                        if inside:
+                            runs = runs[_on(found.value, bits, runs)]
+                        made.append(runs)
+                        content.append(np.full(len(runs), content_of(blocks), np.int64))
+                    pairs = np.stack([np.concatenate(made), np.concatenate([np.zeros(0, np.int64), *content])])
+                    pairs, n = np.unique(pairs, axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["run", "content", "n"])
+
+        return rows.select("row", "host", "html").mapInArrow(run, "run long, content long, n long").groupBy("run", "content").agg(F.sum("n").alias("n"))
 
-    def parse(batches):
+    outside = written(counts(False).withColumn("beside", F.lit(True)), "outside")
+    release(spark)
+    marks, total = None, outside.count()
+    if total:
+        inside = counts(True, *_bitmap(outside, total)).withColumn("beside", F.lit(False))
+        # A row for each content and place of a run; then a run's contents and places.
+        each = outside.union(inside).groupBy("run", "content").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("beside"), F.col("n")).otherwise(0)).alias("out"))
+        bad = each.groupBy("run").agg(F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("out").alias("out"))
+        bad = written(bad.where(f"on >= {PAGES} and 2 * out >= n").select("run"), "boilerplate")
+        release(spark)
+        total = bad.count()
+        if total:
+            found, bits = _bitmap(bad, total)
+
+            def meet(batches):
+                powers, codes, space = Powers(), byte_codes(), space_table()
+                for b in batches:
+                    for lo in range(0, b.num_rows, 256):
+                        part = b.slice(lo, 256)
+                        made, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                        for row, host, x in zip(*(part.column(i).to_pylist() for i in range(3))):
+                            runs = np.unique(page_runs(blocks_of(x or ""), host, codes, space, powers)[0])
+                            made.append(runs[_on(found.value, bits, runs)])
+                            own.append(np.full(len(made[-1]), row, np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(own))], ["run", "row"])
+
+            met = rows.select("row", "host", "html").mapInArrow(meet, "run long, row long")
+            marks = written(met.join(bad, "run").groupBy("row").agg(F.collect_set("run").alias("runs")), "marks")
+            release(spark)
+
+    def cut(batches):
+        powers, codes, space = Powers(), byte_codes(), space_table()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = [blocks_of(x or "") for x in part.column(3).to_pylist()]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                texts = pa.ListArray.from_arrays(off, pa.array([t for x in found for t, _ in x], pa.string()))
-                flags = pa.ListArray.from_arrays(off, pa.array([m for x in found for _, m in x], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], texts, flags], ["key", "url", "host", "texts", "flags"])
-
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(body).alias("html"))
-    blocks = rows.mapInArrow(parse, "key long, url string, host string, texts array<string>, flags array<boolean>")
-    lots = rows.groupBy("host").agg((F.floor(F.count("*") / LOT) + 1).cast("int").alias("lots"))
-    # A frequent host's pages are dealt between copies of its row.
-    lots = lots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    blocks = blocks.withColumn("salt", F.expr(f"cast(pmod(xxhash64('salt', key, url), {SALT}) as int)")).join(lots, ["host", "salt"])
-    blocks = blocks.withColumn("lot", F.expr("cast(pmod(xxhash64(key, url), lots) as int)")).select("key", "url", "host", "lot", "texts", "flags")
-
-    def run(t: pa.Table) -> pa.Table:
-        pages = [list(zip(x, m)) for x, m in zip(t["texts"].to_pylist(), t["flags"].to_pylist())]
-        return pa.table({"key": t["key"], "url": t["url"], "text": pa.array(main_texts(pages), pa.string())})
-
-    out = blocks.groupBy("host", "lot").applyInArrow(run, "key long, url string, text string")
+                texts = []
+                for host, x, bad in zip(*(part.column(i).to_pylist() for i in (1, 2, 5))):
+                    blocks = blocks_of(x or "")
+                    if bad:
+                        runs = page_runs(blocks, host, codes, space, powers)[0]
+                        texts.append(without(blocks, np.flatnonzero(np.isin(runs, np.array(bad, np.int64)))))
+                    else:
+                        texts.append("\n\n".join(t for t, _ in blocks))
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), pa.array(texts, pa.string())], ["key", "url", "text"])
+
+    marked = rows.withColumn("runs", F.lit(None).cast("array<long>")) if marks is None else rows.join(marks, "row", "left").select("row", "host", "html", "key", "url", "runs")
+    out = marked.mapInArrow(cut, "key long, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -43,6 +43,15 @@ def test_text_beside_an_article_is_kept_unless_repeated(spark):
     assert got == {i: f"{story[i]}\n\nteaser" for i in range(4)}
 
 
+def test_boilerplate_on_few_pages_of_a_large_host(spark):
+    line = "a notice that stands on few of the many pages of this site"
+    body = lambda i: " ".join(f"t{i}x{j}" for j in range(9))
+    rows = [(i, f"http://a.example/{i}", f"<div>{body(i)}</div>" + (f"<div>{line}</div>" if i % 800 == 0 else "")) for i in range(4000)]
+    rows += [(5000 + i, f"http://b.example/{i}", f"<div>{body(i)}</div><div>{line}</div>") for i in range(2)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: body(i) for i in range(4000)} | {5000 + i: f"{body(i)}\n\n{line}" for i in range(2)}
+
+
 def test_intervals_and_as_of(spark):
     e = [("l", "domain", "x.org", "add", 5), ("l", "domain", "x.org", "add", 6), ("l", "domain", "x.org", "remove", 10), ("l", "domain", "x.org", "add", 20), ("m", "prefix", "x.org/a/", "add", 0), ("m", "word", "bad", "add", 3), ("m", "word", "bad", "remove", 3), (None, "word", "x", "add", 1)]
     entries = spark.createDataFrame(e, "list string, kind string, pattern string, action string, at int")
