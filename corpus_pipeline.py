@@ -9,15 +9,15 @@ from sparrowlog.llm import jaccard_join, language_id, mixing, piece_codec, toxic
 from sparrowlog.llm._common import written
 from sparrowlog.llm.queries import _rest, tokenizer_path
 
-#: A text of whose n-grams less than this share is in any language's filter has no language that was learned.
+#: A text with n-grams enough to judge (language_id.FEW), of which less than this share is in any language's filter has no language that was learned.
 LEAST_LANGUAGE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter or in no learned language go."""
+    """Documents but those without a letter and those in no learned language; a text too short to tell the latter stays."""
     model = language_id.learn(docs.where(f"{_rest(3)} <> 1"))
-    out = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return out.where(f"lang_pred <> 'und' and score >= {LEAST_LANGUAGE}").drop("lang_pred", "score")
+    out = language_id.predict(docs, model, keep=tuple(docs.columns), grams=True)
+    return out.where(f"lang_pred <> 'und' and (n_grams < {language_id.FEW} or score >= {LEAST_LANGUAGE})").drop("lang_pred", "score", "n_grams")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

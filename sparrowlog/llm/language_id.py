@@ -5,7 +5,8 @@ the table holds a bit for each language.  Anding the slots of an n-gram gives
 every language whose filter contains it, in a few reads however many languages
 there are.  A text's bits are counted for each language; as a share f of a
 filter's answers is false, a count c of n becomes (c - n f) / (1 - f), and the
-language with the largest corrected count is predicted.
+language with the largest corrected count is predicted.  A short text of whose
+n-grams none is known is decided by shorter ones, which have filters of their own.
 """
 
 from __future__ import annotations
@@ -22,19 +23,23 @@ from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix
 
 #: Bytes of an n-gram, bits of a slot's index, slots for each n-gram.
 GRAM, SLOT_BITS, HASHES = 5, 21, 2
-#: Bounds of what is learned from: texts for each language, bytes of each text, n-grams in all.
-TEXTS_A_LANGUAGE, GRAMS = 4000, 400_000
+#: Bytes of shorter n-grams, how much more one of a byte more counts, and the n-grams from which on a text does without them.
+SHORT, WEIGHT, FEW = (2, 3, 4), 4, 20
+#: Bounds of what is learned from: texts for each language, n-grams in all, shorter n-grams in all.
+TEXTS_A_LANGUAGE, GRAMS, SHORT_GRAMS = 4000, 400_000, 200_000
 #: An n-gram goes into a language's filter if it is there at least this share as frequent as in its best language.
 SHARE = 0.25
 
 
 @dataclass
 class LanguageFilters:
-    """``langs`` in ascending order; ``slots[plane]``: bit b stands for language 64 plane + b; ``false_rate`` by language."""
+    """``langs`` in ascending order; ``slots[plane]``: bit b stands for language 64 plane + b; ``false_rate`` by language; the same for shorter n-grams."""
 
     langs: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
+    short_slots: np.ndarray
+    short_rate: np.ndarray
 
 
 def _slots(g: np.ndarray) -> list[np.ndarray]:
@@ -47,7 +52,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     Rows without text or language are left out.  At most TEXTS_A_LANGUAGE
     texts of each language are used, those whose hashed key comes first; the
-    driver receives at most GRAMS n-grams.
+    driver receives at most GRAMS n-grams and SHORT_GRAMS shorter ones.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key")), F.col("key"))
@@ -62,10 +67,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             langs = b.column(0).to_pylist()
             for i, j in chunks(off):
                 x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
-                g, doc = byte_grams(x, bounds, GRAM)
-                own = np.array(langs[i:j], object)[doc]
-                for name in set(langs[i:j]):
-                    held.setdefault(name, []).append(counted([g[own == name]]))
+                for size in (*SHORT, GRAM):
+                    g, doc = byte_grams(x, bounds, size)
+                    own = np.array(langs[i:j], object)[doc]
+                    for name in set(langs[i:j]):
+                        held.setdefault(name, []).append(counted([g[own == name]]))
         for name, parts in held.items():
             grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
@@ -74,16 +80,22 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), pa.array(grams[lo : lo + m].view(np.int64)), pa.array(n[lo : lo + m].astype(np.int64))], ["lang", "gram", "n"])
 
     counts = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang = Window.partitionBy("lang")
+    by_lang = Window.partitionBy("lang", "long")
+    counts = counts.withColumn("long", F.col("gram") >= GRAM << 8 * GRAM)
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(by_lang)).where("n >= 2")
     best = (
-        share.groupBy("gram")
+        share.groupBy("gram", "long")
         .agg(F.max("p").alias("best"), F.collect_list(F.struct("lang", "p")).alias("each"))  # one entry a language
-        .orderBy(F.desc("best"), "gram").limit(GRAMS)
-        .select("gram", F.expr(f"transform(filter(each, e -> e.p >= {SHARE} * best), e -> e.lang)").alias("langs"))
-        .toPandas()
     )
+    first = [best.where("long" if long else "not long").orderBy(F.desc("best"), "gram").limit(n) for long, n in ((True, GRAMS), (False, SHORT_GRAMS))]
+    best = first[0].union(first[1]).select("gram", "long", F.expr(f"transform(filter(each, e -> e.p >= {SHARE} * best), e -> e.lang)").alias("langs")).toPandas()
     langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    long = best["long"].to_numpy(bool)
+    return LanguageFilters(langs, *_filters(best[long], langs), *_filters(best[~long], langs))
+
+
+def _filters(best, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and false rates of the n-grams in ``best`` (gram, langs)."""
     index = {x: i for i, x in enumerate(langs)}
     planes = max(1, (len(langs) + 63) // 64)
     wide = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(langs), 64) <= n)
@@ -98,50 +110,64 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             for s in at:
                 slots[k // 64][s[member[:, k]]] |= wide(1 << (k % 64))
     rate = np.array([float((slots[k // 64] >> wide(k % 64) & wide(1)).mean()) ** HASHES for k in range(len(langs))])
-    return LanguageFilters(langs, slots, rate)
+    return slots, rate
 
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict_batch(column: pa.Array, model: LanguageFilters) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def _hits(x: np.ndarray, bounds: np.ndarray, size: int, slots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of each text, and of these what each of ``k`` filters contains."""
+    n = len(bounds) - 1
+    g, doc = byte_grams(x, bounds, size)
+    at, hits = _slots(g), np.zeros((n, k))
+    for plane in range(len(slots)):
+        found = slots[plane][at[0]]
+        for s in at[1:]:
+            found &= slots[plane][s]
+        for b in range(min(64, k - 64 * plane)):
+            hits[:, 64 * plane + b] = np.bincount(doc[(found >> found.dtype.type(b)) & found.dtype.type(1) != 0], minlength=n)
+    return np.bincount(doc, minlength=n), hits
+
+
+def _share(hits: np.ndarray, total: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    f = np.minimum(rate, 0.999)
+    return np.clip((hits - total[:, None] * f) / ((1 - f) * np.maximum(total, 1)[:, None]), 0, 1)
+
+
+def predict_batch(column: pa.Array, model: LanguageFilters) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and how many n-grams it has."""
     data, off = utf8(column)
     table = letter_table()
     n, k = len(off) - 1, len(model.langs)
-    hits, total, ink = np.zeros((n, k)), np.zeros(n), np.zeros(n, bool)
+    hits, total, ink = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros(n, bool)
     for i, j in chunks(off):
-        part, rel = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        x, bounds = letter_stream(part, rel, table)
+        x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
         ascii_letter = np.concatenate([[0], np.cumsum((x >= 97) & (x <= 122))])
         ink[i:j] = ascii_letter[bounds[1:]] > ascii_letter[bounds[:-1]]
-        g, doc = byte_grams(x, bounds, min(GRAM, 5))
-        at = _slots(g)
-        total[i:j] += np.bincount(doc, minlength=j - i)
-        for plane in range(len(model.slots)):
-            found = model.slots[plane][at[0]]
-            for s in at[1:]:
-                found &= model.slots[plane][s]
-            for b in range(min(64, k - 64 * plane)):
-                hits[i:j, 64 * plane + b] += np.bincount(doc[(found >> found.dtype.type(b)) & found.dtype.type(1) != 0], minlength=j - i)
+        total[i:j], hits[i:j] = _hits(x, bounds, GRAM, model.slots, k)
     for r in np.flatnonzero(~ink):
         ink[r] = off[r + 1] > off[r] and has_letter(data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
     langs, scores = ["und"] * n, np.zeros(n)
     if k:
-        f = np.minimum(model.false_rate, 0.999)
-        share = np.clip((hits - total[:, None] * f) / ((1 - f) * np.maximum(total, 1)[:, None]), 0, 1)
+        share = _share(hits, total, model.false_rate)
+        for r in np.flatnonzero(ink & (total < FEW) & (share.max(1) == 0)):
+            x, bounds = letter_stream(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]), table)
+            found = [(WEIGHT ** (size - SHORT[0]), *_hits(x, bounds, size, model.short_slots, k)) for size in SHORT]
+            share[r] = _share(sum(w * h for w, _, h in found), sum(w * t for w, t, _ in found), model.short_rate)[0]
         best = share.argmax(1)
         for r in np.flatnonzero(ink):
             langs[r], scores[r] = model.langs[best[r]], share[r, best[r]]
-    return langs, scores
+    return langs, scores, total
 
 
-def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``'s columns with ``lang_pred`` and ``score`` for each row.
+def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: tuple[str, ...] = ("doc_id",), grams: bool = False) -> DataFrame:
+    """``keep``'s columns with ``lang_pred`` and ``score``, and on demand ``n_grams``, for each row.
 
     A text that is null or has no letter is ``und`` with score 0.  A text
-    without a known n-gram gets the first language with score 0.  Ties go to
+    of fewer than FEW n-grams, none of them known, is decided and scored by shorter
+    ones; if none of these is known either, it gets the first language with score 0.  Ties go to
     the first language.  Any length of text is read whole.
     """
     shared = sent(docs.sparkSession, model)
@@ -151,9 +177,11 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: t
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                langs, scores = predict_batch(part.column(at), own)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+                langs, scores, total = predict_batch(part.column(at), own)
+                made = [pa.array(langs, pa.string()), pa.array(scores), *([pa.array(total, pa.int64())] if grams else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], [*names, *extra])
 
     source, at, kinds = with_text(docs, keep, text)
     names = list(keep)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    extra = ["lang_pred", "score", *(["n_grams"] if grams else [])]
+    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double" + (", n_grams long" if grams else ""))

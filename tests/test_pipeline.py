@@ -1,0 +1,20 @@
+import random
+
+import corpus_pipeline
+from sparrowlog.llm import language_id
+
+WORDS = {"aa": ["re", "de", "ra", "dare", "reader", "adder"], "bb": ["um", "no", "omu", "munon", "numon", "onum"]}
+
+
+def long_texts():
+    rng = random.Random(8)
+    return [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(40)), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+
+
+def test_language_keeps_texts_too_short_to_judge(spark):
+    short = [(100, "Re.", "aa"), (101, "No", "bb"), (102, "A.", "aa"), (103, "um", "bb"), (104, "zzzz", "aa")]
+    rows = [*long_texts(), *short, (110, "12 ,.", "aa"), (111, None, "aa"), (112, "", "aa"), (113, "kiwwy zlkkw pqqjx hcvvt " * 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()} == {i for i, *_ in rows} - {110, 111, 112, 113}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.learn(df.where("doc_id < 100"))).collect()}
+    assert all(got[i] == lang for i, _, lang in [*long_texts(), *short[:4]])
