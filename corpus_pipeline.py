@@ -28,10 +28,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id; documents without words stay."""
-    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
+    """One document of each group of near duplicates, the one of the smallest id; documents without words stay.
+
+    A row without an id goes by a hash of its columns, which comes after usual ids, so
+    it is compared as others are, and leaves without an id.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(*docs.columns), 2) + F.lit(1 << 62))
+    named = docs.select(F.struct(*docs.columns).alias("row"), own.alias("doc_id"), "text")
+    found = jaccard_join.jaccard_components(named, k=5, percent=80)
     ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

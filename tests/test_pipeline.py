@@ -18,3 +18,14 @@ def test_language_keeps_texts_too_short_to_judge(spark):
     assert {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()} == {i for i, *_ in rows} - {110, 111, 112, 113}
     got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.learn(df.where("doc_id < 100"))).collect()}
     assert all(got[i] == lang for i, _, lang in [*long_texts(), *short[:4]])
+
+
+def test_rows_without_id_are_kept_once(spark):
+    text = [" ".join(f"d{i}w{j}" for j in range(30)) for i in range(4)]
+    rows = [(1, text[0], "x"), (2, text[0] + " end", "x"), (None, text[0], "x"), (None, text[1], "x"), (None, text[1] + " end", "y"), (None, text[2], "x"), (None, text[2], "x"), (4, text[3], "x"), (4, text[3], "x"), (None, "", "x"), (5, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.unique(spark, df, "")
+    assert got.columns == df.columns
+    out = sorted((str(r.doc_id), (r.text or "").removesuffix(" end")) for r in got.collect())
+    assert out == sorted([("1", text[0]), ("None", text[1]), ("None", text[2]), ("4", text[3]), ("None", ""), ("5", "")])
+    assert corpus_pipeline.unique(spark, df.limit(0), "").collect() == []
