@@ -4,9 +4,13 @@ Only confirmed toxic texts have a label; all others are unlabelled, a mixture
 with the class prior p of toxic ones.  The risk is
 ``p E+[l(z)] + max(0, Eu[l(-z)] - p E+[l(-z)])``: the second part estimates
 the risk on negatives from unlabelled texts, and where it turns negative its
-gradient is followed the other way, which stops overfitting.  A bag of linear
-numpy classifiers over letter n-grams is trained so; a text's score is their
-mean.
+gradient is followed the other way, which stops overfitting.
+
+All unlabelled texts are dealt into bags of about BAG texts.  Each bag trains a
+linear numpy classifier over letter n-grams in a task of its own, against the
+same confirmed texts; the model is the mean of the classifiers' weights, summed
+by Spark.  So every text that may be learned from counts, and the driver's work
+does not grow with them.
 """
 
 from __future__ import annotations
@@ -18,28 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sent, with_text
-from ._text import byte_grams, chunks, letter_stream, letter_table, mix, utf8
+from ._common import sent, with_text, written
+from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
 
 #: Bytes of the n-grams.
 SIZES = (4, 6)
-#: Bounds of what is learned from: confirmed texts, unlabelled texts, n-grams that become features.
-POSITIVES, UNLABELLED, FEATURES = 4000, 12_000, 20_000
-#: A gram is a feature if it is this many standard errors more frequent, and about this share of its texts toxic.
-LEAST_GAP, LEAST_SHARE = 6.0, 0.5
+#: Unlabelled texts of a bag, on average.
+BAG = 12_000
+#: A gram is a feature if it is in so many confirmed texts, this many standard errors more frequent there, and about this share of its texts toxic.
+LEAST_TEXTS, LEAST_GAP, LEAST_SHARE = 3, 6.0, 0.5
 #: Bits of the bitmap that n-grams pass before they are looked up.
 BITS = 22
-BAGS, STEPS, RATE, DECAY = 3, 150, 0.05, 1e-4
+STEPS, RATE, DECAY = 150, 0.05, 1e-4
 
 
 @dataclass
 class ToxicModel:
-    """``grams`` ascending; ``weights`` a row for each classifier; ``mask`` a bitmap of hashed grams."""
+    """``grams`` ascending, with ``weights``; ``mask`` a bitmap of hashed grams."""
 
     grams: np.ndarray
     mask: np.ndarray
     weights: np.ndarray
-    bias: np.ndarray
+    bias: float
     prior: float
 
 
@@ -72,125 +76,158 @@ def _found(column: pa.Array, grams: np.ndarray, mask: np.ndarray):
         yield i, j, (key // len(grams) if len(grams) else key), (key % len(grams) if len(grams) else key)
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str = "text", key: str = "doc_id") -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str = "text", key: str = "doc_id", positives: int = 4000) -> ToxicModel:
     """A model from ``docs`` and from the rows of ``labels`` with toxic = 1.
 
     ``allowed``: SQL over the key, for the rows that may be learned from.  The
-    prior is the share of toxic ones among allowed labels.  At most POSITIVES
-    confirmed and UNLABELLED other texts are read, those whose hashed key
-    comes first; the driver receives at most FEATURES n-grams and the chosen
-    texts' features.  Without a confirmed text every score is the prior.
+    prior is the share of toxic ones among allowed labels.  ``positives`` bounds
+    the confirmed texts, those whose hashed key comes first; features are n-grams
+    of these, so they bound the driver's and the executors' memory too.  How
+    frequent a feature is elsewhere is counted over all allowed texts, and all of
+    them are learned from as unlabelled: texts of all kinds, so that the prior
+    holds for them; confirmed ones among them count on both sides.  Rows with a
+    null key or text are not learned from, repeated rows count each.  Without a
+    confirmed text every score is the prior.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic")).where("key is not null and toxic is not null").where(allowed.replace(key, "key"))
     known = known.groupBy("key").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     prior = float(n_toxic or 0) / n if n else 0.0
-    first = [F.xxhash64("key"), F.col("key")]
-    some = known.where("toxic = 1").select("key").orderBy(*first).limit(POSITIVES)
+    some = known.where("toxic = 1").select("key").orderBy(F.xxhash64("key"), F.col("key")).limit(positives)
     base = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).where(allowed.replace(key, "key"))
-    # Unlabelled are texts of all kinds, so that the prior holds for them; confirmed ones among them count on both sides.
-    mixed = base.select("key").distinct().orderBy(*first).limit(UNLABELLED)
-    chosen = some.withColumn("own", F.lit(1)).union(mixed.withColumn("own", F.lit(0)))
-    sample = base.join(F.broadcast(chosen), "key").select("own", "text")  # at most POSITIVES + UNLABELLED ids
+    confirmed = written(base.join(F.broadcast(some), "key", "left_semi").select("text"), "confirmed")  # at most ``positives`` ids
+
+    def none() -> ToxicModel:
+        p = min(max(prior, 1e-6), 1 - 1e-6)
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(1 << BITS, bool), np.zeros(0), float(np.log(p / (1 - p))), prior)
 
     def count(batches):
-        table = letter_table()
-        held = {0: [], 1: []}
-        docs_of = {0: 0, 1: 0}
+        table, held, texts = letter_table(), [], 0
         for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            data, off = utf8(b.column(1))
+            data, off = utf8(b.column(0))
+            texts += b.num_rows
             for i, j in chunks(off):
                 x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
-                for n in SIZES:
-                    g, doc = byte_grams(x, bounds, n)
-                    grams, at = np.unique(g, return_inverse=True)
-                    pair = np.unique(doc.astype(np.int64) * max(len(grams), 1) + at)
-                    doc, at = pair // max(len(grams), 1), pair % max(len(grams), 1)
-                    for k in (0, 1):
-                        c = np.bincount(at[own[i:j][doc] == k], minlength=len(grams))
-                        held[k].append((grams[c > 0], c[c > 0]))
-                for k in (0, 1):
-                    docs_of[k] += int((own[i:j] == k).sum())
-        for k in (0, 1):
-            parts = held[k] + [(np.array([0], np.uint64), np.array([docs_of[k]]))]  # gram 0 counts texts
-            grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-            for lo in range(0, len(grams), 1 << 16):
-                m = len(grams[lo : lo + (1 << 16)])
-                z = pa.array(np.zeros(m, np.int64))
-                v = pa.array(c[lo : lo + m])
-                yield pa.RecordBatch.from_arrays([pa.array(grams[lo : lo + m].view(np.int64)), *((z, v) if k else (v, z))], ["gram", "u", "p"])
-
-    counts = sample.mapInArrow(count, "gram long, u long, p long").groupBy("gram").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-    size = counts.where("gram = 0").first()
-    nu, n_p = (size["u"], size["p"]) if size else (0, 0)
-    if not n_p or not nu:
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(1 << BITS, bool), np.zeros((1, 0)), np.full(1, np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))), prior)
-    # How far a gram's share among confirmed texts is above its share among the others, in standard errors;
+                for size in SIZES:
+                    g, doc = byte_grams(x, bounds, size)
+                    order = np.lexsort((doc, g))
+                    g, doc = g[order], doc[order]
+                    new = np.ones(len(g), bool)
+                    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+                    held.append(counted([g[new]]))
+        held.append((np.zeros(1, np.uint64), np.array([texts])))  # gram 0 counts texts
+        grams, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+        for lo in range(0, len(grams), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[lo : lo + (1 << 16)].view(np.int64)), pa.array(c[lo : lo + (1 << 16)])], ["gram", "p"])
+
+    # What is in a few confirmed texts at least: their number bounds it.
+    often = confirmed.mapInArrow(count, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(f"gram = 0 or p >= {LEAST_TEXTS}").toPandas()
+    of = often["gram"].to_numpy(np.int64)
+    n_p = int(often["p"].to_numpy()[of == 0].sum())
+    if not n_p:
+        return none()
+    order = np.argsort(of.view(np.uint64))
+    grams, held_by = of.view(np.uint64)[order], often["p"].to_numpy(np.int64)[order]
+    grams, held_by = grams[grams != 0], held_by[grams != 0]
+    shared = spark.sparkContext.broadcast((grams, _mask(grams)))
+
+    def among_all(batches):
+        grams, mask = shared.value
+        c, texts = np.zeros(len(grams) + 1, np.int64), 0
+        for b in batches:
+            texts += b.num_rows
+            for _, _, _, at in _found(b.column(0), grams, mask):
+                c += np.bincount(at, minlength=len(c))
+        c[-1] = texts
+        own = np.flatnonzero(c)
+        for lo in range(0, len(own), 1 << 16):
+            part = own[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(c[part])], ["at", "u"])
+
+    u = np.zeros(len(grams) + 1, np.int64)
+    rows = base.select("text").mapInArrow(among_all, "at long, u long").groupBy("at").agg(F.sum("u").alias("u")).toPandas()
+    u[rows["at"].to_numpy()] = rows["u"].to_numpy()
+    nu, u = int(u[-1]), u[:-1]
+    # How far a gram's share among confirmed texts is above its share among all, in standard errors;
     # and, by the prior, the share of toxic ones among all texts that hold it.
-    gap = f"(p / {n_p} - u / {nu}) / sqrt((p + u + 1.0) / {n_p + nu} / {min(n_p, nu)})"
-    within = f"{prior} * p / {n_p} >= {LEAST_SHARE} * (u + 1.0) / {nu}"
-    picked = counts.where(f"gram <> 0 and p >= 3 and {gap} >= {LEAST_GAP} and {within}").orderBy(F.desc(F.expr(gap)), "gram").limit(FEATURES).select("gram").toPandas()
-    grams = np.sort(picked["gram"].to_numpy(np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((grams, _mask(grams)))
+    gap = (held_by / n_p - u / nu) / np.sqrt((held_by + u + 1.0) / (n_p + nu) / min(n_p, nu))
+    picked = (gap >= LEAST_GAP) & (prior * held_by / n_p >= LEAST_SHARE * (u + 1.0) / nu)
+    grams = grams[picked]
+    chosen = spark.sparkContext.broadcast((grams, _mask(grams)))
 
-    def rows(batches):
-        grams, mask = shared.value
+    def features(batches):
+        grams, mask = chosen.value
         for b in batches:
-            own = b.column(0).to_pylist()
-            for i, j, doc, feature in _found(b.column(1), grams, mask):
+            for i, j, doc, feature in _found(b.column(0), grams, mask):
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own[i:j], pa.int32()), pa.ListArray.from_arrays(cut, pa.array(feature.astype(np.int32)))], ["own", "features"])
-
-    got = sample.mapInArrow(rows, "own int, features array<int>").toPandas()
-    own, features = got["own"].to_numpy(), [np.asarray(x, np.int64) for x in got["features"]]
-    # The order in which tasks end must not show in the sums.
-    order = sorted(range(len(own)), key=lambda i: (own[i], features[i].tobytes()))
-    return _train(own[order], [features[i] for i in order], grams, prior)
-
-
-def _train(own: np.ndarray, features: list[np.ndarray], grams: np.ndarray, prior: float) -> ToxicModel:
-    p = min(max(prior, 1e-3), 0.5)
-    weights, bias = [], []
-    for bag in range(BAGS):
-        rng = np.random.default_rng(1000 + bag)
-        pick = np.concatenate([rng.choice(np.flatnonzero(own == k), int((own == k).sum()) if bag == 0 else max(1, int(0.8 * (own == k).sum())), replace=False) for k in (1, 0)])
-        y = own[pick] == 1
-        lens = np.array([len(features[i]) for i in pick])
-        col = np.concatenate([features[i] for i in pick]) if len(pick) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(pick)), lens)
-        w, b = np.zeros(len(grams)), np.log(p / (1 - p))
-        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-        n1, n0 = max(1, y.sum()), max(1, (~y).sum())
-        for step in range(1, STEPS + 1):
-            z = np.bincount(row, weights=w[col], minlength=len(pick)) + b
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            loss_neg = np.logaddexp(0, z)
-            rest = loss_neg[~y].sum() / n0 - p * loss_neg[y].sum() / n1
-            g = np.zeros(len(pick))
-            if rest >= 0:
-                g[y] = p / n1 * (s[y] - 1) - p / n1 * s[y]
-                g[~y] = s[~y] / n0
-            else:  # back off: the estimate of the negatives' risk has gone below 0
-                g[y] = p / n1 * s[y]
-                g[~y] = -s[~y] / n0
-            gw = np.bincount(col, weights=g[row], minlength=len(grams)) + DECAY * w
-            gb = g.sum()
-            m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            b -= RATE * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
-        weights.append(w)
-        bias.append(b)
-    return ToxicModel(grams, _mask(grams), np.array(weights), np.array(bias), prior)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, pa.array(feature.astype(np.int32))), *(c.slice(i, j - i) for c in b.columns[1:])], ["features", *b.schema.names[1:]])
+
+    positive = _sorted([np.asarray(x, np.int64) for x in confirmed.mapInArrow(features, "features array<int>").toPandas()["features"]])
+    to_bags = spark.sparkContext.broadcast(positive)
+    bags, p, width = max(1, -(-nu // BAG)), min(max(prior, 1e-3), 0.5), len(grams)
+
+    def train(t: pa.Table) -> pa.Table:
+        # The order in which rows come must not show in the sums; of texts with equal features one row with their number came.
+        parts = [np.asarray(x, np.int64) for x in t["features"].to_numpy()]
+        order = sorted(range(len(parts)), key=lambda i: parts[i].tobytes())
+        n = t["n"].to_numpy()
+        w, b = train_bag(to_bags.value, [parts[i] for i in order], n[order], width, p)
+        on = np.flatnonzero(w)
+        return pa.table({"at": pa.array(np.append(on, -1)), "w": pa.array(np.append(w[on], b))})
+
+    dealt = base.select("text", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(bags)).cast("int").alias("bag")).mapInArrow(features, "features array<int>, bag int")
+    dealt = dealt.groupBy("bag", "features").agg(F.count("*").alias("n"))
+    # Sums of whole numbers do not depend on the order of tasks.
+    fitted = dealt.groupBy("bag").applyInArrow(train, "at long, w double").groupBy("at").agg(F.sum(F.round(F.col("w") * (1 << 40)).cast("decimal(38,0)")).cast("double").alias("w")).toPandas()
+    w = np.zeros(width + 1)
+    w[fitted["at"].to_numpy()] = fitted["w"].to_numpy() / (1 << 40) / bags
+    return ToxicModel(grams, _mask(grams), w[:-1], float(w[-1]), prior)
+
+
+def _sorted(rows: list[np.ndarray]) -> list[np.ndarray]:
+    return sorted(rows, key=lambda x: x.tobytes())
+
+
+def risk(z_p: np.ndarray, z_u: np.ndarray, n_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The corrected risk of logits of confirmed and of unlabelled texts (``n_u`` of each), and what is followed downhill for each of them."""
+    s_p, s_u = 1 / (1 + np.exp(-np.clip(z_p, -40, 40))), 1 / (1 + np.exp(-np.clip(z_u, -40, 40)))
+    n1, share = max(1, len(z_p)), n_u / max(1, n_u.sum())
+    rest = float((share * np.logaddexp(0, z_u)).sum() - prior * np.logaddexp(0, z_p).sum() / n1)
+    value = prior * float(np.logaddexp(0, -z_p).sum()) / n1 + max(0.0, rest)
+    if rest >= 0:
+        return value, prior / n1 * (s_p - 1) - prior / n1 * s_p, share * s_u
+    return value, prior / n1 * s_p, -share * s_u  # back off: the estimate of the negatives' risk has gone below 0
+
+
+def train_bag(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_u: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias after STEPS steps of Adam on the corrected risk."""
+
+    def flat(rows):
+        return (np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    (row_p, col_p), (row_u, col_u) = flat(positive), flat(unlabelled)
+    w, b = np.zeros(width), np.log(prior / (1 - prior))
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
+    for step in range(1, STEPS + 1):
+        z_p = np.bincount(row_p, weights=w[col_p], minlength=len(positive)) + b
+        z_u = np.bincount(row_u, weights=w[col_u], minlength=len(unlabelled)) + b
+        _, g_p, g_u = risk(z_p, z_u, n_u, prior)
+        gw = np.bincount(col_p, weights=g_p[row_p], minlength=width) + np.bincount(col_u, weights=g_u[row_u], minlength=width) + DECAY * w
+        gb = g_p.sum() + g_u.sum()
+        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        b -= RATE * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
+    return w, float(b)
 
 
 def score_batch(column: pa.Array, model: ToxicModel) -> np.ndarray:
     out = np.zeros(len(column))
     for i, j, doc, feature in _found(column, model.grams, model.mask):
-        z = [np.bincount(doc, weights=w[feature], minlength=j - i) + b for w, b in zip(model.weights, model.bias, strict=True)]
-        out[i:j] = np.mean([1 / (1 + np.exp(-np.clip(x, -40, 40))) for x in z], axis=0)
+        z = np.bincount(doc, weights=model.weights[feature], minlength=j - i) + model.bias
+        out[i:j] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     return out
 
 
