@@ -15,18 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sent, with_text
+from ._common import sent, with_text, written
 from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
 
-#: Bytes of an n-gram, bits of a slot's index, slots for each n-gram.
-GRAM, SLOT_BITS, HASHES = 5, 21, 2
+#: Bytes of an n-gram, slots for each n-gram, and slots of a filter for each n-gram in it, about.
+GRAM, HASHES, ROOM = 5, 2, 4
 #: Bytes of shorter n-grams, how much more one of a byte more counts, and the n-grams from which on a text does without them.
 SHORT, WEIGHT, FEW = (2, 3, 4), 4, 20
-#: Bounds of what is learned from: texts for each language, n-grams in all, shorter n-grams in all.
-TEXTS_A_LANGUAGE, GRAMS, SHORT_GRAMS = 4000, 400_000, 200_000
+#: Most slots of a filter, as a power of two.
+WIDE = 24
 #: An n-gram goes into a language's filter if it is there at least this share as frequent as in its best language.
 SHARE = 0.25
 
@@ -42,74 +42,82 @@ class LanguageFilters:
     short_rate: np.ndarray
 
 
-def _slots(g: np.ndarray) -> list[np.ndarray]:
+def _slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(g)
-    return [((h >> np.uint64(SLOT_BITS * i)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((h >> np.uint64(bits * i)) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageFilters:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_a_language: int = 4000) -> LanguageFilters:
     """Filters from labelled texts.
 
-    Rows without text or language are left out.  At most TEXTS_A_LANGUAGE
-    texts of each language are used, those whose hashed key comes first; the
-    driver receives at most GRAMS n-grams and SHORT_GRAMS shorter ones.
+    Rows without text or language are left out.  ``texts_a_language`` bounds the
+    labelled texts that are learned from: of a language with more, that share is
+    taken by the hash of their key, so about so many (of rows with a null key all or none).  All that the driver
+    receives is bounded by these texts.  Filters grow with their n-grams, of
+    which none is dropped but those seen only once.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key")), F.col("key"))
-    chosen = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_A_LANGUAGE).select("key", "lang").distinct()
-    texts = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, ["key", "lang"], "left_semi")
+    spark = docs.sparkSession
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    each = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
+    langs = [r["lang"] for r in each]
+    if not langs:
+        return LanguageFilters([], *_filters(None, 0, 0), *_filters(None, 0, 0))
+    scale = 1 << 30
+    shares = spark.createDataFrame([(i, x["lang"], min(scale, scale * texts_a_language // x["n"] + 1)) for i, x in enumerate(each)], "index int, lang string, share long")
+    # As few rows as languages; their number is known here.
+    known = F.broadcast(shares) if len(langs) <= 10_000 else shares
+    texts = rows.join(known, "lang").where(F.pmod(F.xxhash64("key"), F.lit(scale)) < F.col("share")).select("index", "text")
 
     def count(batches):
         table = letter_table()
-        held: dict[str, list] = {}
+        held: dict[int, list] = {}
         for b in batches:
             data, off = utf8(b.column(1))
-            langs = b.column(0).to_pylist()
+            own = b.column(0).to_numpy()
             for i, j in chunks(off):
                 x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
                 for size in (*SHORT, GRAM):
                     g, doc = byte_grams(x, bounds, size)
-                    own = np.array(langs[i:j], object)[doc]
-                    for name in set(langs[i:j]):
-                        held.setdefault(name, []).append(counted([g[own == name]]))
-        for name, parts in held.items():
+                    of = own[i:j][doc]
+                    for k in np.unique(own[i:j]):
+                        held.setdefault(int(k), []).append(counted([g[of == k]]))
+        for k, parts in held.items():
             grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
             for lo in range(0, len(grams), 1 << 16):
                 m = len(grams[lo : lo + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), pa.array(grams[lo : lo + m].view(np.int64)), pa.array(n[lo : lo + m].astype(np.int64))], ["lang", "gram", "n"])
-
-    counts = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang = Window.partitionBy("lang", "long")
-    counts = counts.withColumn("long", F.col("gram") >= GRAM << 8 * GRAM)
-    share = counts.withColumn("p", F.col("n") / F.sum("n").over(by_lang)).where("n >= 2")
-    best = (
-        share.groupBy("gram", "long")
-        .agg(F.max("p").alias("best"), F.collect_list(F.struct("lang", "p")).alias("each"))  # one entry a language
-    )
-    first = [best.where("long" if long else "not long").orderBy(F.desc("best"), "gram").limit(n) for long, n in ((True, GRAMS), (False, SHORT_GRAMS))]
-    best = first[0].union(first[1]).select("gram", "long", F.expr(f"transform(filter(each, e -> e.p >= {SHARE} * best), e -> e.lang)").alias("langs")).toPandas()
-    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
-    long = best["long"].to_numpy(bool)
-    return LanguageFilters(langs, *_filters(best[long], langs), *_filters(best[~long], langs))
-
-
-def _filters(best, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and false rates of the n-grams in ``best`` (gram, langs)."""
-    index = {x: i for i, x in enumerate(langs)}
-    planes = max(1, (len(langs) + 63) // 64)
-    wide = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(langs), 64) <= n)
-    slots = np.zeros((planes, 1 << SLOT_BITS), wide)
-    if len(best):
-        grams = best["gram"].to_numpy(np.int64).view(np.uint64)
-        at = _slots(grams)
-        member = np.zeros((len(best), len(langs)), bool)
-        for r, names in enumerate(best["langs"]):
-            member[r, [index[x] for x in names]] = True
-        for k in range(len(langs)):
-            for s in at:
-                slots[k // 64][s[member[:, k]]] |= wide(1 << (k % 64))
-    rate = np.array([float((slots[k // 64] >> wide(k % 64) & wide(1)).mean()) ** HASHES for k in range(len(langs))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int32)), pa.array(grams[lo : lo + m].view(np.int64)), pa.array(n[lo : lo + m].astype(np.int64))], ["index", "gram", "n"])
+
+    counts = texts.mapInArrow(count, "index int, gram long, n long").groupBy("index", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts.withColumn("long", F.col("gram") >= GRAM << 8 * GRAM), "grams")
+    totals = counts.groupBy("index", "long").agg(F.sum("n").alias("total"))
+    totals = F.broadcast(totals) if len(langs) <= 10_000 else totals  # two rows a language
+    share = counts.where("n >= 2").join(totals, ["index", "long"]).withColumn("p", F.col("n") / F.col("total"))
+    # One entry a language in each list.
+    best = share.groupBy("gram", "long").agg(F.max("p").alias("best"), F.collect_list(F.struct("index", "p")).alias("each"))
+    member = best.select("gram", "long", F.explode(F.expr(f"filter(each, e -> e.p >= {SHARE} * best)")).alias("e")).select("gram", "long", F.expr("e.index div 64").alias("plane"), F.expr("shiftleft(1L, e.index % 64)").alias("bit"))
+    member = written(member.groupBy("gram", "long", "plane").agg(F.bit_or("bit").alias("bits")), "members")
+    return LanguageFilters(langs, *_filters(member.where("long"), len(langs), WIDE), *_filters(member.where("not long"), len(langs), WIDE))
+
+
+def _filters(member: DataFrame | None, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and false rates of ``k`` filters of the n-grams in ``member`` (gram, plane, bits); at most 2 ** ``most`` slots, beyond which they are false more often."""
+    planes = max(1, (k + 63) // 64)
+    wide = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(k, 64) <= n)
+    n = member.count() if member is not None else 0
+    bits = min(most, max(10, (ROOM * n).bit_length()))
+    slots = np.zeros((planes, 1 << bits), wide)
+    if n:
+
+        def place(batches):
+            for b in batches:
+                for at in _slots(b.column(0).to_numpy().view(np.uint64), bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1), b.column(2)], ["slot", "plane", "bits"])
+
+        made = member.select("gram", F.col("plane").cast("int"), "bits").mapInArrow(place, "slot long, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits"))
+        got = made.toPandas()  # at most a row for each slot and plane
+        slots[got["plane"].to_numpy(), got["slot"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64).astype(wide)
+    rate = np.array([float((slots[i // 64] >> wide(i % 64) & wide(1)).mean()) ** HASHES for i in range(k)])
     return slots, rate
 
 
@@ -121,7 +129,7 @@ def _hits(x: np.ndarray, bounds: np.ndarray, size: int, slots: np.ndarray, k: in
     """N-grams of each text, and of these what each of ``k`` filters contains."""
     n = len(bounds) - 1
     g, doc = byte_grams(x, bounds, size)
-    at, hits = _slots(g), np.zeros((n, k))
+    at, hits = _slots(g, slots.shape[1].bit_length() - 1), np.zeros((n, k))
     for plane in range(len(slots)):
         found = slots[plane][at[0]]
         for s in at[1:]:

@@ -24,6 +24,8 @@ from ._common import written
 
 #: Slots in a row before they are exploded.
 RUN = 1 << 16
+#: Ranges that a source's stream is summed in.  It fixes the order of the stream, so it is no setting.
+RANGES = 4096
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -143,15 +145,14 @@ def streams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     The order within a source is by a hash of the row, then by id.  Starts come from sums by
     (source, range), so that a source of any size is spread over many tasks.
     """
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("h"))
-    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).cast("int"))
+    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(RANGES)).cast("int"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("source", "part").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     sums = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
     within = Window.partitionBy("source", "part").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    d = d.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     return d.select("doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("start"), "h")
 
 
@@ -206,7 +207,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     pieces = rows.where("size > 0").select("src", "start", "size", "doc_id", "h", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     drawn = drawn_blocks(spark, found, shards, block, seed)
     spans = (
-        pieces.join(drawn, ["src", "block"])
+        pieces.join(drawn.hint("merge"), ["src", "block"])
         .withColumn("first", F.greatest(F.col("start"), F.col("block") * block) - F.col("start"))
         .withColumn("until", F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words")) - F.col("start"))
         .where("until > first")
@@ -220,7 +221,7 @@ def taken(m: Mixture) -> DataFrame:
     per = m.spans.groupBy("src", "start").agg(F.sum(F.col("until") - F.col("first")).alias("taken"))
     spark = m.rows.sparkSession
     facts = spark.createDataFrame([(i, s.size, float(s.target)) for i, s in enumerate(m.sources)], "src int, source_size long, target double")
-    full = m.rows.where("size > 0").join(per, ["src", "start"], "left")
+    full = m.rows.where("size > 0").join(per.hint("merge"), ["src", "start"], "left")
     none = m.rows.where("size = 0").withColumn("taken", F.lit(None).cast("long")).select(full.columns)
     out = full.union(none).join(F.broadcast(facts) if len(m.sources) <= 10_000 else facts, "src")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -234,11 +235,13 @@ def mixed_documents(docs: DataFrame, m: Mixture, doc_id: str = "doc_id", text: s
     a space.
     """
     per = m.spans.groupBy("doc_id", "h", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("runs"))
-    texts = docs.withColumn("h_", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "h_"])
-    per = per.select(F.col("doc_id").alias("id_"), F.col("h").alias("k_"), "turn", "runs")
-    names, kinds = docs.columns, docs.schema
-    at = names.index(text)
-    joined = texts.join(per, texts[doc_id].eqNullSafe(per["id_"]) & texts["h_"].eqNullSafe(per["k_"])).select(*[texts[c] for c in names], "runs")
+    names, at = docs.columns, docs.columns.index(text)
+    # Columns go by place, so that none of ``docs`` can have the name of one made here.
+    own = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("h", F.xxhash64(f"c{at}"))
+    texts = own.dropDuplicates([f"c{names.index(doc_id)}", "h"])
+    per = per.select(F.col("doc_id").alias("id"), F.col("h").alias("k"), "turn", "runs")
+    joined = texts.join(per.hint("merge"), texts[f"c{names.index(doc_id)}"].eqNullSafe(per["id"]) & texts["h"].eqNullSafe(per["k"])).select(*(f"c{i}" for i in range(len(names))), "runs")
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def cut(batches):
         import re
@@ -260,6 +263,6 @@ def mixed_documents(docs: DataFrame, m: Mixture, doc_id: str = "doc_id", text: s
                     out.append(t if whole else " ".join(t[spans[a][0] : spans[e - 1][1]] for a, e in merged))
                 columns = [*part.columns[: len(names)]]
                 columns[at] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    return joined.mapInArrow(cut, kinds)
+    return joined.mapInArrow(cut, kinds).toDF(*names)
