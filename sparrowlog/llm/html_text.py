@@ -36,19 +36,22 @@ RUN, PAGES = 8, 3
 MAP_BITS = 28
 
 # Fixed values of HTML.
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|button|head|title|audio|video|map"
-_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "label", "figcaption"}
+#: Elements whose content is text to a browser, up to their end tag or that of the page.
+_RAW = "script|style|template|textarea|iframe|title"
+#: Elements that are not for reading, with all they hold.
+_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "noscript", "svg", "object", "canvas", "select", "button", "audio", "video", "map"}
 _MAIN = {"article", "main"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Words in a class, id or role that tell what an element is for.
-_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|aside|widget|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|replies|disqus|respond|pagination|pager|toolbar|skip|contentinfo|complementary|alert|search|form|disclaimer|copyright|legal|tags|byline-ads)(?:$|[\s_-])",
-    re.I,
-)
+#: What may stand in a head; another element ends a head that has no end tag.
+_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
+#: Words of a class, id or role that tell what an element is for: wherever it stands, or outside of a marked article only.
+_AWAY = "ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|cookies?|consent|gdpr|newsletter|subscribe|comments?|disqus|related|recommended|pagination|share|sharing|complementary"
+_OUTER = "banner|promo(?:tion)?|header|masthead|footer|foot|aside|widget|notice|popup|modal|overlay|subscription|signup|login|social|recommendations|replies|respond|pager|toolbar|skip|contentinfo|alert|search|form|disclaimer|copyright|legal|tags"
+_AWAY_NAME, _OUTER_NAME = (re.compile(rf"(?:^|[_-])(?:{words})(?:$|[_-])", re.I) for words in (_AWAY, _OUTER))
 _ITEM = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(" + _RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
 _MARK = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -59,20 +62,35 @@ def blocks_of(markup: str) -> list[tuple[str, bool]]:
     """(text, in the marked article) of each block of a page, in page order.
 
     Comments, scripts, styles and elements that are not for reading go, with
-    all they hold.  An element that is never closed ends with its parent.
+    all they hold.  An element that is never closed ends with its parent; one
+    that is not for reading and never closed ends where an article begins.  In
+    an article, names such as "legal" or "notice" make no boilerplate of an
+    element; they only leave it to the repeated runs, as if it stood beside.
     """
     out: list[tuple[str, bool]] = []
-    # name, whether all within goes, whether it is in the article
-    stack: list[tuple[str, bool, bool]] = []
+    # name, whether all within goes, whether it is in the article, whether it is doubtful there
+    stack: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
-    away = main = False
+    away = main = doubt = False
+    ends: dict[str, int] = {}
+
+    def closed(name: str, at: int) -> bool:
+        """Whether an end tag of ``name`` comes after ``at``; looked up once a name."""
+        if name not in ends:
+            ends[name] = max((m.start() for m in re.finditer(rf"</{name}[\s>]", markup, re.I)), default=-1)
+        return ends[name] > at
 
     def flush():
         if text:
             t = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if t:
-                out.append((t, main))
+                out.append((t, main and not doubt))
+
+    def back(i: int):
+        nonlocal away, main, doubt
+        del stack[i:]
+        _, away, main, doubt = stack[-1] if stack else ("", False, False, False)
 
     at = 0
     for m in _ITEM.finditer(markup):
@@ -83,6 +101,8 @@ def blocks_of(markup: str) -> list[tuple[str, bool]]:
         if name is None:
             continue
         name = name.lower()
+        if stack and stack[-1][0] == "head" and not m[2] and name not in _HEAD:
+            back(len(stack) - 1)
         if name in _BLOCK or name == "br":
             if name == "br":
                 if not away:
@@ -92,29 +112,36 @@ def blocks_of(markup: str) -> list[tuple[str, bool]]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    back(i)
                     break
                 if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                     break  # a stray end does not close the article
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             continue
         if name in _VOID or m[4].endswith("/"):
             continue
+        if name in _MAIN and away:
+            open_ = next((i for i, e in enumerate(stack) if e[1]), 0)
+            if stack[open_][0] in _ASIDE and not closed(stack[open_][0], m.start()):
+                back(open_)
         if name == "p" or name == "li":  # an open one ends here
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    back(i)
                     break
                 if stack[i][0] in _BLOCK:
                     break
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        gone = away or name in _ASIDE
+        gone, here = away or name in _ASIDE or name == "head", doubt
+        inside = main or name in _MAIN
         if not gone and m[4]:
             if name not in ("html", "body") and name not in _MAIN:
-                gone = any(_AWAY.search(a or b or c) for a, b, c in _MARK.findall(m[4]))
+                names = [x for a, b, c in _MARK.findall(m[4]) for x in (a or b or c).split()]
+                gone = any(_AWAY_NAME.search(x) for x in names)
+                if not gone and any(_OUTER_NAME.search(x) for x in names):
+                    gone, here = not inside, inside
             gone = gone or bool(_HIDDEN.search(m[4]))
-        stack.append((name, gone, main or name in _MAIN or 'role="main"' in m[4]))
-        away, main = stack[-1][1], stack[-1][2]
+            inside = inside or 'role="main"' in m[4]
+        stack.append((name, gone, inside, here and name not in _MAIN))
+        _, away, main, doubt = stack[-1]
     if at < len(markup) and not away:
         rest = markup[at:]
         cut = rest.rfind("<")
