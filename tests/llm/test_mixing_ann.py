@@ -66,7 +66,7 @@ def test_recall_ties_and_odd_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(2000, None), (2020, [0.0] * 32), (2040, [float("nan")] * 32), (2060, [None] * 32), (2080, [1.0]), (2100, []), (None, rows[0][1]), (2120, [float("inf")] * 32)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as score", "3 as rank")
-    got = [tuple(r) for r in nearest(df, 20, 20).collect()]
+    got = [tuple(r)[:4] for r in nearest(df, 20, 20).collect()]
     want = brute(rows, 20, 20)
     assert len(got) == len(want)
     hits = {(q, v) for q, _, v, _ in want}
@@ -77,3 +77,39 @@ def test_recall_ties_and_odd_vectors(spark):
     few = nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), 20, 2)
     assert few.count() == 4
     assert nearest(df.limit(0)).collect() == []
+
+
+def test_many_blocks_and_lots(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((8, 24))[i % 8] + 0.3 * rng.standard_normal(24) for i in range(2000)]).reshape(2000, 24)
+    x[:600] = x[0]  # a third are equal, so one cell has them all
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest(df, 20, 20, block=100, lot=7).collect()
+    want = brute(rows, 20, 20)
+    hits = {(q, v) for q, _, v, _ in want}
+    assert len(out) == len(want) == 2000
+    assert sum((r.query_id, r.vec_id) in hits for r in out) >= 0.9 * len(want)
+    assert np.mean([r.verified for r in out]) < 0.5 * len(rows)
+    assert sorted(tuple(r)[:3] for r in out if r.query_id < 600) == [w[:3] for w in sorted(want) if w[0] < 600]
+
+
+def test_large_norms_keep_their_order(spark):
+    rng = np.random.default_rng(3)
+    x = 1e8 * rng.standard_normal((400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()
+    exact = {(q, v): s for q, _, v, s in brute(rows, 399, 50)}
+    assert all(abs(exact[r.query_id, r.vec_id] / r.score - 1) < 1e-12 for r in got)
+
+
+def test_stream_order_is_no_setting(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 70)), "abc"[i % 3]) for i in range(200)], "doc_id long, text string, source string")
+    seen, before = set(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 37, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.add(tuple(sorted(map(str, taken(mix(df, block=16, shards=5)).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
