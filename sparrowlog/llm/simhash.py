@@ -109,11 +109,15 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2), 4096)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     ids = d.select("doc_id").where("doc_id is not null")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= doc_id))") if cuts else F.lit(0)
+    # How many cuts are at most the id, by halving: the array, filled up to a power of two, is halved in a fold.
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    filled = cuts + [None] * (2 * steps[0] - len(cuts)) if cuts else []
+    ladder = ", ".join("null" if c is None else f"{c}L" for c in filled)
+    bucket = F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (n, s) -> if(coalesce(array({ladder})[n + s - 1] <= doc_id, false), n + s, n))") if cuts else F.lit(0)
     d = d.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket))
     # The first id of each range: at most ``parts`` rows.
     firsts = sorted((r[0], r[1]) for r in d.groupBy("bucket").agg(F.min("doc_id").alias("least")).collect())

@@ -37,20 +37,22 @@ def host_of(url: str = "url") -> Column:
     return F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)", 2)
 
 
-def rule_keys(url: str = "url") -> Column:
+def rule_keys(url: str = "url", slashes: str | None = None) -> Column:
     """Every (kind, pattern) that could match a URL.
 
     ``domain``: the host and each parent of it.  ``prefix``: the host with
     each leading part of the path, up to and with a slash, and the whole of
     it.  ``word``: each run of letters and digits of host and path.
+    ``slashes``: SQL for the most slashes that any prefix rule has; leading parts with more match none and are not made.
     """
     u = f"lower(coalesce({url}, ''))"
     host = r"regexp_extract(" + u + r", '^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2)"
     path = r"regexp_extract(" + u + r", '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    most = f"size(split({path}, '/'))" if slashes is None else f"least(size(split({path}, '/')), coalesce({slashes}, 0) + 1)"
     return F.expr(
         f"""CASE WHEN {host} = '' THEN cast(array() AS array<struct<kind:string,pattern:string>>) ELSE concat(
-            transform(sequence(1, size(split({host}, '[.]'))), i -> named_struct('kind', 'domain', 'pattern', array_join(slice(split({host}, '[.]'), i, 1000), '.'))),
-            transform(array_distinct(transform(sequence(1, size(split({path}, '/'))), i -> concat({host}, array_join(slice(split({path}, '/'), 1, i), '/'), if(i < size(split({path}, '/')), '/', '')))), p -> named_struct('kind', 'prefix', 'pattern', p)),
+            transform(sequence(1, size(split({host}, '[.]'))), i -> named_struct('kind', 'domain', 'pattern', array_join(slice(split({host}, '[.]'), i, size(split({host}, '[.]'))), '.'))),
+            transform(array_distinct(transform(sequence(1, {most}), i -> concat({host}, array_join(slice(split({path}, '/'), 1, i), '/'), if(i < size(split({path}, '/')), '/', '')))), p -> named_struct('kind', 'prefix', 'pattern', p)),
             transform(array_distinct(filter(split(concat({host}, {path}), '[^a-z0-9]+'), x -> x <> '')), x -> named_struct('kind', 'word', 'pattern', x))
         ) END"""
     )
@@ -64,7 +66,8 @@ def matches(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     either table play no part.
     """
     held = intervals(entries).select("kind", "pattern", "list", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    c = captures.select(F.col(key).alias("key"), F.col(at).alias("at"), F.inline(rule_keys(url)))
+    most = entries.where("kind = 'prefix'").agg(F.max(F.expr("char_length(pattern) - char_length(replace(pattern, '/', ''))"))).first()[0] or 0
+    c = captures.select(F.col(key).alias("key"), F.col(at).alias("at"), F.inline(rule_keys(url, str(most))))
     c = c.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int"))
     met = c.join(held, ["kind", "pattern", "salt"]).where("since <= at and (until is null or at < until)")
     return met.select(F.col("key").alias(key), "list", "kind", "pattern").distinct()
