@@ -54,7 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sparrowlog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path_of_it = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later plan reads."""
+    for df in tables:
+        drop_path(df.sparkSession, df.path_of_it)
 
 
 def sent(spark: SparkSession, model):
@@ -96,9 +104,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u != v").distinct(), "edges")
+        discard(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = written(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discard(large)
         same = small.groupBy("u").count().where("count > 1").isEmpty()
         if same and small.join(small.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             e = small

@@ -12,11 +12,17 @@ for most prefixes; those come first, rare ones ahead, and the others follow by
 hash.  Documents with the same set are one class, joined once.
 
 Short lists are joined to pairs, which are counted and must match L times.  The
-documents of a long list become one cluster, named after its first document,
-so that large groups of near copies are never expanded into pairs.  A cluster's
-whole sets are intersected together in one kernel, which returns a spanning
-forest of the links; a large cluster is dealt into blocks, and every two blocks
-meet.  No list, candidate or partner is dropped, so no component is lost.
+documents of a long list become one cluster, named after its first document, so
+that large groups of near copies are never expanded into pairs.  A cluster is
+dealt into blocks by what its sets hold, each with the first document's set
+beside its own.  A block's whole sets are intersected in one kernel, which returns
+a spanning forest of their links.  What a block has not linked with the first
+document, usually little, meets every other block of its cluster; two documents
+that are linked with it are in one component whether they link or not.  No list,
+candidate or partner is dropped, so no component is lost.
+
+Shingles that take a large share of all list entries are few.  They are found
+first, and what concerns them is broadcast, so no task gets the entries of one.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, release, written
+from ._common import components, discard, release, written
 from ._text import Powers, byte_codes, chunks, shingles, space_table, span_hashes, utf8, word_bounds
 
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
-#: Lists of at most so many documents are joined to pairs; blocks of a cluster.
-SHORT, BLOCK = 4, 2048
+#: Lists of at most so many documents are joined to pairs; documents and shingles of a block of a cluster, on average.
+SHORT, BLOCK, ITEMS = 4, 2048, 1 << 20
+#: What has more than one in so many of all list entries, or rows, is broadcast: at most so many rows.
+HOT = 4096
 #: Most bits, as a power of two, of the map of documents whose sets are read.
 MAP_BITS = 28
 #: How much wider than a prefix the region of exact frequencies is.
@@ -112,14 +120,15 @@ def _set_table(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: in
     return rows.withColumn("s", spot("d")).mapInArrow(run, "d long, items binary")
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of linked documents that connect all that links connect among ``sets``.
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of linked documents that connect all that links connect among ``sets``, and each one's component.
 
     One document is intersected with all others at a time, by the lists of its
     items.  A document that is in a largest component when its turn comes is put
     off.  Largest components change and tie, so of those put off, all outside of
     one component have their turn at the end: a link between two documents without
-    a turn lies within that component.
+    a turn lies within that component.  ``asks`` marks the documents whose links
+    count; those have their turn and no others.
     """
     size = np.array([len(x) for x in sets])
     items, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -145,7 +154,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
             part[part == p] = part[d]
 
     late = []
-    for d in range(len(sets)):
+    for d in range(len(sets)) if asks is None else ():
         if count[part[d]] == count.max() and count[part[d]] > 1:
             late.append(d)
         else:
@@ -155,7 +164,9 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         for d in late:
             if part[d] != part[kept]:
                 turn(d)
-    return out
+    for d in np.flatnonzero(asks) if asks is not None else ():
+        turn(int(d))
+    return out, part
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +183,7 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
         for m in range(1, MOST_MATCHES + 1)
     ]
     best = F.array_min(F.slice(F.array(*costs), F.lit(1), F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("need"))).cast("int")))
-    return e.withColumn("matches", best["m"]).select("token", "d", "n", "matches", "layer")
+    return e.withColumn("matches", best["m"]).select("token", "d", "n", "matches", "layer", "hot")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -184,22 +195,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Repeated rows each get a row, and rows of one id are one document when links are followed.  Extra columns are ignored.  A null id gets
     its own null component.
     """
-    spark = docs.sparkSession
     profiles = written(_profiles(docs, doc_id, text, k, percent), "profiles")
     # One representative of each class of equal sets: the row of the smallest id.
     named = profiles.where("n > 0 and doc_id is not null")
-    classes = written(named.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
-    entries = (
-        named.join(classes, ["sig1", "sig2"]).where("doc_id = rep").dropDuplicates(["sig1", "sig2", "doc_id"])
-        .select(F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), F.col("n_region").cast("int").alias("n_region"), F.posexplode("tokens").alias("at", "token"))
-    )
-    by_token = Window.partitionBy("token")
-    # Shingles of one document alone link nothing; they only take up the beginnings of prefixes.
-    shared = written(entries.withColumn("df", F.count("*").over(by_token)).where("df > 1"), "shared")
-    release(spark)
+    classes = written(named.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    # Ids are in the key, so that copies of one text do not meet in one task.
+    chosen = classes.select("sig1", "sig2", F.col("rep").alias("doc_id"))
+    reps = named.join(chosen, ["sig1", "sig2", "doc_id"], "left_semi").dropDuplicates(["sig1", "sig2", "doc_id"])
+    reps = written(reps.select(F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), F.col("n_region").cast("int").alias("n_region"), "tokens"), "representatives")
+    release(profiles.sparkSession)
+    shared = written(_shared(reps), "shared")
+    release(profiles.sparkSession)
+    discard(reps)
     lists = written(_prefixes(shared, percent), "lists")
-    counted = lists.withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token))
-    long = counted.where(f"c > {SHORT}").select("head", "d").distinct()
+    discard(shared)
+    by_token = Window.partitionBy("token")
+    heads = F.broadcast(lists.where("hot").groupBy("token").agg(F.min("d").alias("head"), F.count("*").alias("c")))  # at most HOT rows
+    counted = lists.where("not hot").withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token)).unionByName(lists.where("hot").join(heads, "token"))
+    long = counted.where(f"c > {SHORT}").select("head", "d", "n")
     short = counted.where(f"c between 2 and {SHORT}")
     x = short.select("token", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "matches", "layer")))
     y = short.select("token", *(F.col(c).alias(f"y_{c}") for c in ("d", "n", "layer")))
@@ -207,25 +220,122 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = (
         x.join(y, "token")
         .where(f"x_d > y_d and x_layer <= x_matches and y_layer <= x_matches and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-        .groupBy(F.col("y_d").alias("a"), F.col("x_d").alias("b")).agg(F.count("*").alias("c"), F.max("x_matches").alias("need"))
-        .where("c >= need").select(F.col("a").alias("head"), F.explode(F.array("a", "b")).alias("d"))
+        .groupBy(F.col("y_d").alias("a"), F.col("x_d").alias("b")).agg(F.count("*").alias("c"), F.max("x_matches").alias("need"), F.max("y_n").alias("y_n"), F.max("x_n").alias("x_n"))
+        .where("c >= need").select(F.col("a").alias("head"), F.inline(F.array(F.struct(F.col("a").alias("d"), F.col("y_n").alias("n")), F.struct(F.col("b").alias("d"), F.col("x_n").alias("n")))))
     )
     members = written(long.union(pairs).distinct(), "members")
-    release(spark)
+    release(profiles.sparkSession)
+    discard(lists)
     sets = written(_set_table(docs, doc_id, text, members.select("d").distinct(), k), "sets")
-    blocks = members.groupBy("head").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "head").withColumn("own", F.expr("cast(pmod(xxhash64(d), blocks) as int)"))
-    dealt = dealt.select("head", "d", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))")).alias("pair"))
-
-    def link(t: pa.Table) -> pa.Table:
-        found = forest(t["d"].to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in t["items"]], percent)
-        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
-
-    links = written(dealt.join(sets, "d").groupBy("head", "pair").applyInArrow(link, "a long, b long"), "links")
-    release(spark)
-    comp = components(links, "a", "b").withColumnRenamed("node", "rep")
-    comp = classes.join(comp, "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))
-    return (
-        profiles.select("doc_id", "n", "sig1", "sig2").join(comp, ["sig1", "sig2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-    )
+    links = _links(members, sets, percent)
+    release(profiles.sparkSession)
+    discard(members, sets)
+    comp = written(components(links, "a", "b").withColumnRenamed("node", "rep"), "components")
+    discard(links)
+    comp = classes.join(comp, "rep", "left").select("sig1", "sig2", "rows", F.coalesce("component", "rep").alias("component"))
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    frequent = F.broadcast(comp.where(F.col("rows") * HOT > total).select("sig1", "sig2", F.col("component").alias("found")))  # fewer than HOT rows
+    rows = profiles.select("doc_id", "n", "sig1", "sig2").join(frequent, ["sig1", "sig2"], "left")
+    rare = rows.where("found is null").drop("found").join(comp.where(F.col("rows") * HOT <= total).select("sig1", "sig2", F.col("component").alias("found")), ["sig1", "sig2"], "left")
+    out = rows.where("found is not null").unionByName(rare)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found")).alias("component_id"))
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """(token, d, n, n_region, at, df, hot): the entries of shingles that are in several of ``reps``.
+
+    Shingles of one document alone link nothing; they only take up the beginnings
+    of prefixes.  A shingle with more than two in HOT of all entries has more than
+    one in HOT of them within tasks in each of which it has that share of the task's
+    entries.  So counting in each task what is frequent there finds it, and at most
+    HOT shingles reach the bound.
+    """
+    spark = reps.sparkSession
+
+    def frequent(batches):
+        parts, total = [], 0
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy()
+            total += len(flat)
+            t, c = np.unique(flat, return_counts=True)
+            parts.append((t[c > 1], c[c > 1]))
+            if sum(len(p[0]) for p in parts) > 1 << 22:
+                parts = [_summed(parts)]
+        t, c = _summed(parts)
+        on = c * HOT >= total
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t[on], 0)), pa.array(np.append(c[on], 0)), pa.array(np.append(np.zeros(int(on.sum()), np.int64), total))], ["token", "c", "total"])
+
+    found = written(reps.select("tokens").mapInArrow(frequent, "token long, c long, total long"), "frequent")
+    total = found.agg(F.sum("total")).first()[0] or 0
+    tokens = np.sort(found.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") * HOT >= max(total, 1)).select("token").toPandas()["token"].to_numpy(np.int64))
+    discard(found)
+    shared = spark.sparkContext.broadcast(tokens)
+
+    def count(batches):
+        tokens = shared.value
+        c = np.zeros(len(tokens), np.int64)
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy()
+            at = np.searchsorted(tokens, flat)
+            at[at == len(tokens)] = 0
+            c += np.bincount(at[tokens[at] == flat], minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(c)], ["token", "df"])
+
+    entries = reps.select("d", "n", "n_region", F.posexplode("tokens").alias("at", "token"))
+    rest = entries.withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
+    if not len(tokens):
+        return rest.where("df > 1")
+    own = reps.select("tokens").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
+    hot = F.broadcast(spark.createDataFrame([(int(t), int(n)) for t, n in zip(own["token"], own["df"])], "token long, df long"))  # at most HOT rows
+    cold = entries.join(hot.select("token"), "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
+    return cold.unionByName(entries.join(hot, "token").withColumn("hot", F.lit(True))).where("df > 1")
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    t, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return t, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(t)).astype(np.int64)
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what links connect within each cluster of ``members`` (head, d, n)."""
+    size = members.groupBy("head").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    size = size.select("head", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("items") / ITEMS)).cast("int").alias("blocks"))
+    large = written(size.where("blocks > 1"), "large")
+    few = large.count() <= 1_000_000
+    of_head = F.broadcast(large) if few else large
+    dealt = members.join(of_head, "head", "left").select("head", "d", F.expr("cast(pmod(xxhash64(d), coalesce(blocks, 1)) as int)").alias("block"), F.col("blocks").isNotNull().alias("many"))
+    firsts = large.select("head", F.col("head").alias("d"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("many"))
+
+    def within(t: pa.Table) -> pa.Table:
+        ids, head = t["d"].to_numpy(), t["head"][0].as_py()
+        found, part = forest(ids, [np.frombuffer(v.as_buffer(), np.uint64) for v in t["items"]], percent)
+        out = ids[part != part[np.flatnonzero(ids == head)[0]]] if t["many"][0].as_py() else ids[:0]
+        a, b = np.array([e[0] for e in found], np.int64), np.array([e[1] for e in found], np.int64)
+        return pa.table({"a": pa.array(np.concatenate([a, out])), "b": pa.array(np.concatenate([b, out])), "head": pa.array([None] * len(a) + [head] * len(out), pa.int64())})
+
+    first = written(dealt.union(firsts).distinct().join(sets, "d").groupBy("head", "block").applyInArrow(within, "a long, b long, head long"), "within")
+    release(members.sparkSession)
+    links = first.where("head is null").select("a", "b")
+    left = first.where("head is not null").select("head", F.col("a").alias("d"))
+    n_left = left.count()
+    if n_left:
+        left = members.join(left, ["head", "d"], "left_semi")
+        asking = left.groupBy("head").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+        asking = written(asking.select("head", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("items") / ITEMS)).cast("int").alias("lots")).join(large, "head"), "asking")
+        of_head = F.broadcast(asking) if few else asking
+        asks = left.join(of_head, "head").select("head", "d", F.expr("cast(pmod(xxhash64(d, 1), lots) as int)").alias("lot"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("asks"))
+        met = members.join(of_head, "head").select("head", "d", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.expr("cast(pmod(xxhash64(d), blocks) as int)").alias("block"), F.lit(False).alias("asks"))
+
+        def across(t: pa.Table) -> pa.Table:
+            asks, ids = t["asks"].to_numpy(zero_copy_only=False), t["d"].to_numpy()
+            kept = asks | ~np.isin(ids, ids[asks])  # one that asks may also be met here
+            rows = np.flatnonzero(kept)
+            items = t["items"].combine_chunks()
+            found, _ = forest(ids[rows], [np.frombuffer(items[int(i)].as_buffer(), np.uint64) for i in rows], percent, asks[rows]) if asks.any() else ([], None)
+            return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+        second = written(asks.select(met.columns).union(met).join(sets, "d").groupBy("head", "lot", "block").applyInArrow(across, "a long, b long"), "across")
+        links = links.union(second)
+    return written(links, "links")

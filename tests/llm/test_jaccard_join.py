@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
+from sparrowlog.llm import jaccard_join
 from sparrowlog.llm.jaccard_join import forest, jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,16 +77,20 @@ def joined(n, edges):
 def test_forest_links_components_that_tie():
     # Windows over a line link with their neighbours only: A-B-D-C, in the order A, B, C, D.
     windows = [np.arange(i, i + 20).astype(np.uint64) for i in (0, 1, 3, 2)]
-    assert joined(4, forest(np.arange(4), windows, 85)) == {frozenset(range(4))}
+    assert joined(4, forest(np.arange(4), windows, 85)[0]) == {frozenset(range(4))}
     rng = random.Random(3)
     for _ in range(200):
         at = rng.sample(range(16), 11)
-        found = forest(np.arange(11), [np.arange(i, i + 20).astype(np.uint64) for i in at], 85)
+        found = forest(np.arange(11), [np.arange(i, i + 20).astype(np.uint64) for i in at], 85)[0]
         assert joined(11, found) == joined(11, [(i, j) for i in range(11) for j in range(i) if abs(at[i] - at[j]) == 1])
         assert len(found) == 11 - len(joined(11, found))
 
 
-def test_versions_that_drift(spark):
+@pytest.mark.parametrize("block, hot", [(2048, 4096), (3, 4096), (3, 12)])
+def test_versions_that_drift(spark, monkeypatch, block, hot):
+    """Also where clusters are dealt into many blocks, and where frequent shingles are broadcast."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rng, rows = random.Random(4), []
     for f in range(12):
         words = [f"f{f}w{i}" for i in range(70)]
