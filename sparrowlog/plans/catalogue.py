@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -442,17 +442,22 @@ def q_loaded(spark, sf_dir):
 # Streams.
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local master may do with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sparrowlog-")
+    return base.rstrip("/")
+
+
 @query(f"WITH {LOG}, w AS (SELECT *, NOT coalesce(bool_or(fails >= 3) OVER (PARTITION BY topic, part, k ORDER BY off), false) AS succeeded FROM log) SELECT topic, part, off, succeeded AS ok FROM w")
 def q_stream_equals_batch(spark, sf_dir):
     """The ledger after a drained stream over the log: a record of which attempts fail three times, and those behind it, stay unfinished."""
     from ..streaming.ledger import Ledger, newest, process
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="sparrowlog-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = events_log(spark, sf_dir).select("topic", "part", "off", "k", "fails")
     log.write.parquet(f"{root}/log")
 
