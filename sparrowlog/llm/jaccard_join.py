@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, discard, release, written
-from ._text import Powers, byte_codes, chunks, shingles, space_table, span_hashes, utf8, word_bounds
+from ._text import Powers, byte_codes, chunks, counted, distinct, shingles, space_table, span_hashes, utf8, word_bounds
 
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
@@ -61,7 +61,7 @@ def _sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:
         s, e, doc = word_bounds(part, rel, space)
         made, at = shingles(span_hashes(part, s, e, codes, powers), doc, j - i, k)
         for d in range(j - i):
-            yield np.unique(made[at[d] : at[d + 1]])
+            yield distinct(made[at[d] : at[d + 1]])
 
 
 def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _shared(reps: DataFrame) -> DataFrame:
         for b in batches:
             flat = b.column(0).flatten().to_numpy()
             total += len(flat)
-            t, c = np.unique(flat, return_counts=True)
+            t, c = counted([flat])
             parts.append((t[c > 1], c[c > 1]))
             if sum(len(p[0]) for p in parts) > 1 << 22:
                 parts = [_summed(parts)]
@@ -294,8 +294,7 @@ def _shared(reps: DataFrame) -> DataFrame:
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    t, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return t, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(t)).astype(np.int64)
+    return counted([p[0] for p in parts], [p[1] for p in parts])
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -82,8 +82,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     for k in np.unique(own[i:j]):
                         held.setdefault(int(k), []).append(counted([g[of == k]]))
         for k, parts in held.items():
-            grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
+            grams, n = counted([p[0] for p in parts], [p[1] for p in parts])
             for lo in range(0, len(grams), 1 << 16):
                 m = len(grams[lo : lo + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int32)), pa.array(grams[lo : lo + m].view(np.int64)), pa.array(n[lo : lo + m].astype(np.int64))], ["index", "gram", "n"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import sent, with_text, written
-from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
+from ._text import byte_grams, chunks, counted, gram_pairs, letter_stream, letter_table, mix, utf8
 
 #: Bytes of the n-grams.
 SIZES = (4, 6)
@@ -64,16 +64,16 @@ def _found(column: pa.Array, grams: np.ndarray, mask: np.ndarray):
     for i, j in chunks(off):
         x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
         keys = []
-        for n in SIZES:
+        for n in SIZES if len(grams) else ():
             g, doc = byte_grams(x, bounds, n)
             hit = mask[_bit(g)]
-            g, doc = g[hit], doc[hit]
+            g, doc = gram_pairs(g[hit], doc[hit])
             at = np.searchsorted(grams, g)
             at[at == len(grams)] = 0
-            ok = grams[at] == g if len(grams) else np.zeros(len(g), bool)
+            ok = grams[at] == g
             keys.append(doc[ok] * len(grams) + at[ok])
-        key = np.unique(np.concatenate(keys))
-        yield i, j, (key // len(grams) if len(grams) else key), (key % len(grams) if len(grams) else key)
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        yield i, j, key // max(len(grams), 1), key % max(len(grams), 1)
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str = "text", key: str = "doc_id", positives: int = 4000) -> ToxicModel:
@@ -110,15 +110,9 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
             for i, j in chunks(off):
                 x, bounds = letter_stream(data[off[i] : off[j]], off[i : j + 1] - off[i], table)
                 for size in SIZES:
-                    g, doc = byte_grams(x, bounds, size)
-                    order = np.lexsort((doc, g))
-                    g, doc = g[order], doc[order]
-                    new = np.ones(len(g), bool)
-                    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-                    held.append(counted([g[new]]))
+                    held.append(counted([gram_pairs(*byte_grams(x, bounds, size))[0]]))
         held.append((np.zeros(1, np.uint64), np.array([texts])))  # gram 0 counts texts
-        grams, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+        grams, c = counted([h[0] for h in held], [h[1] for h in held])
         for lo in range(0, len(grams), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(grams[lo : lo + (1 << 16)].view(np.int64)), pa.array(c[lo : lo + (1 << 16)])], ["gram", "p"])
 
