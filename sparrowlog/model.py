@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import types as T
-
 #: Stands for "no offset".
 NO_OFFSET = -1
 #: Characters that a commit's metadata may have, and the share from which a partition takes no more records.
 METADATA_LIMIT, PRESSURE = 4096, 0.75
 
-RECORD = T.StructType(
-    [
-        T.StructField("topic", T.StringType()),
-        T.StructField("part", T.IntegerType()),
-        T.StructField("off", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("k", T.BinaryType()),
-        T.StructField("value", T.BinaryType()),
-    ]
-)
-COMMIT = "topic string, part int, committed long, metadata string"
-
 
 class Ordering(str, Enum):
     UNORDERED = "unordered"
@@ -61,18 +48,22 @@ class Options:
     max_concurrency: int = 16
     batch_size: int = 1
     retry_delay: float = 1.0
-    #: SQL over the work columns that gives the delay in seconds; it goes before ``retry_delay``.
-    retry_delay_expr: str | None = None
+    #: Seconds that a failed batch waits, from the batch and its failed attempts; it goes before ``retry_delay``.
+    retry_delay_of: Callable | None = None
+    #: Seconds after which work counts as slow.
     slow_after: float = 10.0
+    send_timeout: float = 10.0
     foreign_metadata: ForeignMetadata = ForeignMetadata.FAIL
     eager_during_commit: bool = False
     shutdown_timeout: float = 10.0
     drain_timeout: float = 30.0
+    #: Records that a task holds ready; 0 leaves it to the load factor.
     buffer_size: int = 0
     first_load_factor: int = 2
     most_load_factor: int = 100
-    #: An extension: attempts after which a record goes to the dead letters; None retries without end.
-    max_attempts: int | None = None
+    #: Times that a commit which fails is tried again.
+    commit_retries: int = 200
+    #: Tags of every meter.
     tags: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -86,6 +77,10 @@ class Options:
         """Records that should be in flight."""
         return self.max_concurrency * self.batch_size
 
+    def delay_of(self, batch) -> float:
+        """Seconds that a failed batch waits."""
+        return max(0.0, float(self.retry_delay_of(batch) if self.retry_delay_of else self.retry_delay))
+
     def load_factor(self) -> int:
         """The first factor, or the fixed one that a buffer size asks for."""
         return -(-self.buffer_size // self.target) if self.buffer_size else self.first_load_factor

@@ -19,7 +19,7 @@ def load_states(state: DataFrame, target: int, factor: int) -> DataFrame:
 
 @dataclass
 class LoadFactor:
-    """Goes up a step when work runs low, never down; not before ``warm_up`` nor twice within ``cool_down`` seconds."""
+    """Goes up a step when work runs low, never down; only once more than ``warm_up`` seconds have gone, and more than ``cool_down`` since the last step."""
 
     factor: int = 2
     most: int = 100
@@ -30,9 +30,9 @@ class LoadFactor:
     stepped: float | None = None
 
     def offer(self, now: float, queue_low: bool, last_fulfilled: bool) -> bool:
-        if not (queue_low and last_fulfilled) or now - self.started < self.warm_up or self.factor >= self.most:
+        if not (queue_low and last_fulfilled) or now - self.started <= self.warm_up or self.factor >= self.most:
             return False
-        if self.stepped is not None and now - self.stepped < self.cool_down:
+        if self.stepped is not None and now - self.stepped <= self.cool_down:
             return False
         self.factor, self.stepped = min(self.most, self.factor + self.step), now
         return True

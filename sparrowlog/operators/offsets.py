@@ -36,9 +36,21 @@ def incompletes_below_highest(work: DataFrame) -> DataFrame:
     return incompletes(work).join(top, PARTITION).where("off < highest_succeeded").select(*PARTITION, "off")
 
 
-def dirty_commits(state: DataFrame, committed: DataFrame) -> DataFrame:
-    """States whose progress differs from the last commit (topic, part, committed)."""
-    return state.join(committed, PARTITION, "left").where("committed is null or to_commit <> committed").select(*PARTITION, "to_commit")
+def dirty_commits(payloads: DataFrame, committed: DataFrame) -> DataFrame:
+    """The payloads (topic, part, to_commit, metadata) that differ from the last commit (topic, part, committed, metadata).
+
+    A success above the lowest incomplete offset moves no offset but changes the
+    payload, so it counts.  An ack that comes between a commit's collection and its
+    confirmation differs from what was collected, so the partition stays dirty.
+    """
+    last = committed.select(*PARTITION, "committed", F.col("metadata").alias("was"))
+    changed = payloads.join(last, PARTITION, "left").where("committed is null or to_commit <> committed or not metadata <=> was")
+    return changed.select(payloads.columns)
+
+
+def in_flight(work: DataFrame) -> DataFrame:
+    """Records out for processing, by partition."""
+    return work.groupBy(*PARTITION).agg(F.expr("count_if(in_flight)").alias("in_flight"))
 
 
 def previously_completed(records: DataFrame, state: DataFrame, todo: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codec
+from ..model import ForeignMetadata
+
 PARTITION = ["topic", "part"]
 
 
@@ -14,6 +18,23 @@ def assign(epochs: DataFrame, assigned: DataFrame, commits: DataFrame) -> DataFr
     return assigned.select(*PARTITION).distinct().join(e, PARTITION, "left").join(commits, PARTITION, "left").select(*PARTITION, F.coalesce(F.col("last") + 1, F.lit(0)).cast("long").alias("epoch"), F.coalesce("committed", F.lit(-1)).cast("long").alias("committed"), "metadata")
 
 
+def load(commits: DataFrame, foreign: ForeignMetadata = ForeignMetadata.FAIL) -> tuple[DataFrame, DataFrame]:
+    """(state, incompletes) that commits (topic, part, committed, metadata) stand for.
+
+    State is (topic, part, committed, highest_seen).  Metadata that cannot be read
+    counts as none: all below the committed offset is done and nothing else is
+    known.  That of another kind of consumer fails, or is ignored, as asked.
+    """
+
+    @F.pandas_udf("highest_seen long, todo array<long>")
+    def run(committed: pd.Series, metadata: pd.Series) -> pd.DataFrame:
+        rows = [codec.decode_or_none(int(c), m, foreign) for c, m in zip(committed, metadata)]
+        return pd.DataFrame({"highest_seen": [r[0] for r in rows], "todo": [r[1] for r in rows]})
+
+    read = commits.select(*PARTITION, "committed", run("committed", "metadata").alias("d"))
+    return read.select(*PARTITION, "committed", "d.highest_seen"), read.select(*PARTITION, F.explode("d.todo").alias("off"))
+
+
 def fence(work: DataFrame, epochs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(work of the current epoch, stale work); a partition that was removed makes its work stale."""
     now = epochs.select(*PARTITION, "epoch")
@@ -24,6 +45,18 @@ def revoke(work: DataFrame, revoked: DataFrame) -> DataFrame:
     return work.join(revoked.select(*PARTITION), PARTITION, "left_anti")
 
 
+def give_up(work: DataFrame, payloads: DataFrame, epochs: DataFrame, revoked: DataFrame, lost: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits to write first, remaining work, epochs) when partitions go: revoked ones commit what they have, lost ones don't.
+
+    Their epoch grows by one, so results that are still under way are stale.
+    """
+    gone = revoked.select(*PARTITION).distinct()
+    commits = payloads.join(gone, PARTITION, "left_semi")
+    went = gone.withColumn("went", F.lit(1))
+    moved = epochs.join(went, PARTITION, "left").withColumn("epoch", F.col("epoch") + F.coalesce("went", F.lit(0))).drop("went")
+    return commits.limit(0) if lost else commits, revoke(work, gone), moved
+
+
 def truncate(todo: DataFrame, first_polled: DataFrame) -> DataFrame:
     """Incompletes after the first poll: those below the first offset that the log still has are gone.
 

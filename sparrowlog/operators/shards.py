@@ -10,10 +10,6 @@ from ..model import Ordering
 ID = ["topic", "part", "off"]
 
 
-def shard_of(ordering: Ordering) -> Column:
-    return F.struct(*ordering.columns)
-
-
 def dedup(log: DataFrame) -> DataFrame:
     """One row for each record, which topic, partition and offset name."""
     return log.dropDuplicates(ID)
@@ -57,16 +53,49 @@ def eligible(work: DataFrame, ordering: Ordering, available: str = "true") -> Da
     return todo.where(available)
 
 
+def scan(work: DataFrame, ordering: Ordering, available: str = "true", epochs: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+    """What a scan of all shards may take.
+
+    Stale entries (of another epoch) are dropped and the scan goes on; in a
+    partition that is blocked (``state``: highest_succeeded, allowed) only records
+    below the highest succeeded offset are taken, and the first one that is not
+    ends the scan of its shard.
+    """
+    if epochs is not None:
+        work = work.join(epochs.select("topic", "part", "epoch"), ["topic", "part", "epoch"], "left_semi")
+    if state is None:
+        return eligible(work, ordering, available)
+    s = state.select("topic", "part", F.col("highest_succeeded").alias("top"), "allowed")
+    out = eligible(work, ordering, available).join(s, ["topic", "part"], "left")
+    return out.where("coalesce(allowed, true) or off < top").drop("top", "allowed")
+
+
+def open_shards(work: DataFrame, ordering: Ordering) -> DataFrame:
+    """The shards that are kept: under KEY order one without open work is dropped, other orders keep theirs."""
+    per = work.groupBy(*ordering.columns).agg(F.expr("count_if(not succeeded)").alias("open"))
+    return per.where("open > 0") if ordering is Ordering.KEY else per
+
+
+def natural_order(work: DataFrame) -> DataFrame:
+    """Work by topic, partition as a number, and offset."""
+    return work.orderBy(*ID)
+
+
 def take_fair(candidates: DataFrame, ordering: Ordering, n: int, resume: int = 0) -> DataFrame:
     """The first ``n`` candidates going round the shards from number ``resume`` on; adds ``turn`` from 1.
 
-    Shards are numbered in order of their columns.  Numbering looks at one row
-    a shard; the ``n`` rows come from a top-n that each task makes of its own.
+    Shards are numbered in order of their columns: within a topic's partition by a
+    window over one row a shard, and after all shards of partitions before it, of
+    which there is a row each.  The ``n`` rows come from a top-n that each task makes
+    of its own.
     """
     names = ordering.columns
-    shards = candidates.select(*names).distinct().withColumn("seq", F.dense_rank().over(Window.orderBy(*names)) - 1)
-    count = shards.withColumn("n_shards", F.count("*").over(Window.partitionBy()))
-    count = count.select(*[F.col(c).alias(f"shard_{c}") for c in names], "seq", "n_shards")
+    distinct = candidates.select(*names).distinct()
+    parts = distinct.groupBy("topic", "part").agg(F.count("*").alias("own"))  # a row a partition: small
+    every = Window.orderBy("topic", "part")
+    parts = parts.select("topic", "part", (F.sum("own").over(every) - F.col("own")).alias("before"), F.sum("own").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_shards"))
+    place = F.row_number().over(Window.partitionBy("topic", "part").orderBy(*names)) - 1
+    count = distinct.withColumn("place", place).join(parts, ["topic", "part"]).select(*[F.col(c).alias(f"shard_{c}") for c in names], (F.col("before") + F.col("place")).alias("seq"), "n_shards")
     same = [F.col(c).eqNullSafe(F.col(f"shard_{c}")) for c in names]
     placed = candidates.join(count, same).select(*candidates.columns, F.expr(f"pmod(seq - {resume}, n_shards)").alias("visit"))
     top = placed.orderBy("visit", "off").limit(n)
@@ -89,3 +118,14 @@ def request(target: int, out: int, batch_size: int = 1) -> int:
     """Records to ask for so that ``target`` are in flight, topped up to whole batches."""
     want = max(0, target - out)
     return want + (-want) % batch_size
+
+
+def requests(state: DataFrame, target: int, batch_size: int = 1, out: str = "in_flight") -> DataFrame:
+    """``wanted``: the same for rows that tell how many are in flight."""
+    want = F.greatest(F.lit(0), F.lit(target) - F.col(out))
+    return state.withColumn("wanted", (want + F.pmod(-want, F.lit(batch_size))).cast("long"))
+
+
+def awaiting_selection(work: DataFrame, now_us: int) -> DataFrame:
+    """(topic, part, ready, waiting): open work whose retry is due, and all open work; ``retry_due`` is null for what never failed."""
+    return work.where("not succeeded").groupBy("topic", "part").agg(F.expr(f"count_if(retry_due is not null and retry_due <= {now_us})").alias("ready"), F.count("*").alias("waiting"))

@@ -13,7 +13,8 @@ from ..functions import codec
 from ..model import Options, Ordering
 from ..operators import flow, metrics, offsets, reconcile, retry, shards
 from ..sources.log import conversations_log, events_log
-from .runner import Processor, produced, progress
+from ..streaming.ledger import Ledger, process, restore
+from .runner import Processor, Retriable, produced, progress
 
 #: The round after which a run is looked at, and the moment (microseconds) at which it is.
 ROUND, NOW = 40, 1_705_276_800_000_000
@@ -161,9 +162,22 @@ def q_batch_failures(spark, sf_dir):
 
 @query(f"WITH {LOG}, w AS (SELECT part, count(*) FILTER (WHERE fails = 3) AS in_flight FROM log GROUP BY part) SELECT part, in_flight, CAST(greatest(0, 500 - in_flight) + (7 - greatest(0, 500 - in_flight) % 7) % 7 AS BIGINT) AS wanted FROM w")
 def q_request_quantity(spark, sf_dir):
-    w = events_log(spark, sf_dir).groupBy("part").agg(F.expr("count_if(fails = 3)").alias("in_flight"))
-    short = F.greatest(F.lit(0), 500 - F.col("in_flight"))
-    return w.withColumn("wanted", (short + F.pmod(-short, F.lit(7))).cast("long"))
+    flying = offsets.in_flight(events_log(spark, sf_dir).withColumn("in_flight", F.expr("fails = 3")))
+    return shards.requests(flying, 500, 7).drop("topic")
+
+
+@query(f"WITH {WORK[KEY]} SELECT topic, part, k, count(*) FILTER (WHERE NOT succeeded) AS open FROM work GROUP BY topic, part, k HAVING count(*) FILTER (WHERE NOT succeeded) > 0")
+def q_open_shards(spark, sf_dir):
+    return shards.open_shards(work(spark, sf_dir), KEY)
+
+
+@query(f"""WITH {WORK[KEY]}, {STATE}, fresh AS (SELECT * FROM work WHERE NOT succeeded AND off % 5 <> 0), heads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, part, k ORDER BY off) AS place FROM fresh) WHERE place = 1)
+SELECT h.part, h.k, h.off FROM heads h JOIN state USING (topic, part) WHERE h.part % 2 = 0 OR h.off < highest_succeeded""")
+def q_scan_fenced_and_blocked(spark, sf_dir):
+    """Every fifth record is of an old epoch, and odd partitions take no new records."""
+    w = work(spark, sf_dir).withColumn("epoch", F.expr("if(off % 5 = 0, 0, 1)"))
+    state = offsets.partition_state(w).withColumn("allowed", F.expr("part % 2 = 0"))
+    return shards.scan(w, KEY, epochs=state.select("topic", "part", F.lit(1).alias("epoch")), state=state).select("part", "k", "off")
 
 
 # Progress.
@@ -189,10 +203,35 @@ def q_total_incompletes(spark, sf_dir):
     return offsets.partition_state(marked(spark, sf_dir)).agg(F.sum("incompletes").alias("incompletes"), F.count("*").alias("partitions"))
 
 
-@query(f"WITH {WORK[KEY]}, {STATE} SELECT topic, part, to_commit FROM state WHERE to_commit <> CASE WHEN part % 3 = 0 THEN to_commit ELSE 0 END")
+#: The round of the commit before ROUND.
+BEFORE = ROUND - 1
+
+
+@query(f"WITH {WORK[KEY]}, {STATE} SELECT topic, part, to_commit FROM state WHERE (topic, part) IN (SELECT (topic, part) FROM work WHERE done_round > {BEFORE} AND done_round <= {ROUND})")
 def q_dirty_commits(spark, sf_dir):
-    state = offsets.partition_state(work(spark, sf_dir))
-    return offsets.dirty_commits(state, state.select("topic", "part", F.expr("if(part % 3 = 0, to_commit, 0L)").alias("committed")))
+    """Partitions in which anything was acked since the commit of the round before."""
+    log = events_log(spark, sf_dir)
+    then, now = (codec.payloads(offsets.partition_state(w), offsets.incompletes(w)) for w in (shards.after_round(log, KEY, r) for r in (BEFORE, ROUND)))
+    return offsets.dirty_commits(now, then.withColumnRenamed("to_commit", "committed")).select("topic", "part", "to_commit")
+
+
+@query(f"WITH {WORK[KEY]} SELECT part, off FROM work WHERE NOT succeeded")
+def q_commit_restore(spark, sf_dir):
+    """What runs after a restart: commits are written with their payloads, read back, and meet the log from the committed offset on."""
+    w = work(spark, sf_dir)
+    made = codec.payloads(offsets.partition_state(w), offsets.incompletes(w))
+    commits = made.select("topic", "part", F.col("to_commit").alias("committed"), "metadata")
+    polled = events_log(spark, sf_dir).join(commits.drop("metadata"), ["topic", "part"]).where("off >= committed").drop("committed")
+    return restore(polled, commits, first_polled=commits.select("topic", "part", F.col("committed").alias("first")))[0].select("part", "off")
+
+
+@query("""WITH log AS (SELECT 'events' AS topic, CAST(user_id % 12 AS INT) AS part, CAST(row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) - 1 AS BIGINT) AS off FROM events
+  UNION ALL SELECT 'conversations', CAST(conv_id % 8 AS INT), turn FROM conversations)
+SELECT topic, part, max(off) AS highest_seen, count(DISTINCT off) FILTER (WHERE off % 3 = 0) AS incompletes FROM log GROUP BY topic, part""")
+def q_multi_topic(spark, sf_dir):
+    """Two topics in one log: partitions of one number in both are told apart, and a record that comes twice counts once."""
+    log = events_log(spark, sf_dir).select("topic", "part", "off").union(conversations_log(spark, sf_dir).select("topic", "part", "off"))
+    return offsets.partition_state(shards.dedup(log).withColumn("succeeded", F.expr("off % 3 <> 0"))).select("topic", "part", "highest_seen", "incompletes")
 
 
 @query(f"WITH {WORK[KEY]}, {STATE} SELECT part, off, off <= highest_succeeded AND succeeded AS completed FROM work JOIN state USING (topic, part)")
@@ -222,8 +261,8 @@ def q_takeable(spark, sf_dir):
 
 @query(f"WITH {FREE_WORK}, d AS (SELECT *, ts_us + attempts * 1000000 AS due FROM work WHERE NOT succeeded) SELECT part, count(*) FILTER (WHERE attempts > 0 AND due <= {NOW}) AS ready, count(*) AS waiting FROM d GROUP BY part")
 def q_awaiting_selection(spark, sf_dir):
-    w = shards.after_round(events_log(spark, sf_dir), FREE, 2).where("not succeeded").withColumn("due", F.expr("ts_us + attempts * 1000000"))
-    return w.groupBy("part").agg(F.expr(f"count_if(attempts > 0 and due <= {NOW})").alias("ready"), F.count("*").alias("waiting"))
+    w = shards.after_round(events_log(spark, sf_dir), FREE, 2).withColumn("last_failed_us", F.col("ts_us"))
+    return shards.awaiting_selection(retry.due(w, "attempts * 1000000"), NOW).drop("topic")
 
 
 # Codecs.
@@ -405,7 +444,50 @@ def q_run_progress(spark, sf_dir):
             raise ValueError("not yet")
 
     log = events_log(spark, sf_dir).select("topic", "part", "off", "k", "fails")
-    return progress(log, Processor(spark, Options(ordering=KEY), log, attempts=3).poll(fn))
+    return progress(log, Processor(spark, Options(ordering=KEY, retry_delay=0), log, attempts=3).poll(fn))
+
+
+@query(f"WITH {LOG} SELECT part, off, CAST(CASE WHEN off % 5 > 0 THEN 1152921504606846976 + off END AS VARCHAR) AS kept FROM log")
+def q_values_kept(spark, sf_dir):
+    """Values come to a function and back as they are: nullable numbers beyond 2^53, too."""
+    log = events_log(spark, sf_dir).select("topic", "part", "off", "k", F.expr("if(off % 5 > 0, 1152921504606846976L + off, null)").alias("value"))
+    acks = Processor(spark, Options(ordering=PART)).source(log).poll_and_produce(lambda b: (b.value,), "kept:bigint")
+    return produced(acks).drop("topic").withColumn("kept", F.col("kept").cast("string"))
+
+
+@query(f"WITH {LOG} SELECT count(*) AS n, true AS within_limit, true AS together FROM log")
+def q_concurrency_limit(spark, sf_dir):
+    """Shards run beside each other, and never more batches than allowed."""
+    import time
+
+    p = Processor(spark, Options(ordering=KEY, max_concurrency=100)).source(events_log(spark, sf_dir).select("topic", "part", "off", "k"))
+    active: list = []
+
+    def fn(b):
+        active.append(None)
+        n = len(active)
+        time.sleep(0.001)
+        active.pop()
+        return (n,)
+
+    acks = p.poll_and_produce(fn, "n:int")
+    return produced(acks).agg(F.count("*").alias("n"), (F.max("n") <= p.tasks()[1]).alias("within_limit"), (F.max("n") > 1).alias("together"))
+
+
+@query(f"WITH {LOG} SELECT part, off, CAST(fails AS BIGINT) AS attempts, CASE WHEN fails > 0 THEN 'Retriable: not yet' END AS reason, false AS retriable FROM log")
+def q_failure_history(spark, sf_dir):
+    """Failed attempts and the last reason of each record, as a function sees them and as acks keep them."""
+
+    def fn(b):
+        r = b.single()
+        if b.attempts < r["fails"]:
+            raise Retriable("not yet")
+        if (b.reason is None) != (r["fails"] == 0):
+            raise RuntimeError("the last reason is lost")
+
+    log = events_log(spark, sf_dir).select("topic", "part", "off", "k", "fails")
+    acks = Processor(spark, Options(ordering=FREE, retry_delay=0, max_concurrency=64), log, attempts=9).poll(fn)
+    return acks.select("part", "off", "attempts", "reason", "retriable")
 
 
 # Meters.
@@ -433,6 +515,21 @@ def q_metrics_encoder(spark, sf_dir):
     return metrics.encoder(codec.choose(codec.sizes(w, offsets.partition_state(w)))).withColumn("chars", F.col("chars").cast("long"))
 
 
+@query(f"""WITH {WORK[KEY]}, {STATE}, p AS (SELECT part, count(*) FILTER (WHERE succeeded) AS a, sum(attempts) AS b, count(*) FILTER (WHERE NOT succeeded) AS c FROM work GROUP BY part),
+s AS (SELECT count(*) AS n FROM (SELECT DISTINCT topic, part, k FROM work))
+SELECT 'processed.records' AS meter, CAST(part AS VARCHAR) AS part, CAST(a AS DOUBLE) AS value FROM p UNION ALL SELECT 'failed.records', CAST(part AS VARCHAR), CAST(b AS DOUBLE) FROM p
+UNION ALL SELECT 'incomplete.offsets', CAST(part AS VARCHAR), CAST(c AS DOUBLE) FROM p UNION ALL SELECT 'highest.sequential.succeeded', CAST(part AS VARCHAR), CAST(sequential AS DOUBLE) FROM state
+UNION ALL SELECT 'latest.committed', CAST(part AS VARCHAR), CAST(to_commit AS DOUBLE) FROM state UNION ALL SELECT 'assignment.epoch', CAST(part AS VARCHAR), CAST(part % 3 AS DOUBLE) FROM state
+UNION ALL SELECT 'inflight.records', NULL, CAST(count(*) FILTER (WHERE NOT succeeded AND off % 2 = 0) AS DOUBLE) FROM work UNION ALL SELECT 'waiting.records', NULL, CAST(count(*) FILTER (WHERE NOT succeeded AND off % 2 = 1) AS DOUBLE) FROM work
+UNION ALL SELECT 'incomplete.offsets.total', NULL, CAST(sum(c) AS DOUBLE) FROM p UNION ALL SELECT 'shards', NULL, CAST(n AS DOUBLE) FROM s UNION ALL SELECT 'partitions.number', NULL, CAST(count(*) AS DOUBLE) FROM p""")
+def q_meters(spark, sf_dir):
+    w = work(spark, sf_dir).withColumn("in_flight", F.expr("not succeeded and off % 2 = 0")).withColumn("took_us", F.lit(0).cast("long")).withColumn("taken_us", F.col("ts_us"))
+    state = offsets.partition_state(w)
+    made = metrics.meters(w, KEY, codec.payloads(state, offsets.incompletes(w)), state.select("topic", "part", F.expr("part % 3").alias("epoch")), Options(tags={"app": "x"}))
+    shown = ["processed.records", "failed.records", "incomplete.offsets", "highest.sequential.succeeded", "latest.committed", "assignment.epoch", "inflight.records", "waiting.records", "incomplete.offsets.total", "shards", "partitions.number"]
+    return made.where(F.col("meter").isin(shown)).select("meter", F.col("tags")["partition"].alias("part"), "value")
+
+
 @query(f"WITH {LOG}, q AS (SELECT part, count(*) FILTER (WHERE fails = 0) AS queued, count(*) FILTER (WHERE fails > 0) AS out FROM log GROUP BY part) SELECT *, queued + out > 32 * 20 AS loaded FROM q")
 def q_loaded(spark, sf_dir):
     q = events_log(spark, sf_dir).groupBy("part").agg(F.expr("count_if(fails = 0)").alias("queued"), F.expr("count_if(fails > 0)").alias("out"))
@@ -455,8 +552,6 @@ def shared_folder(spark: SparkSession) -> str:
 @query(f"WITH {LOG}, w AS (SELECT *, NOT coalesce(bool_or(fails >= 3) OVER (PARTITION BY topic, part, k ORDER BY off), false) AS succeeded FROM log) SELECT topic, part, off, succeeded AS ok FROM w")
 def q_stream_equals_batch(spark, sf_dir):
     """The ledger after a drained stream over the log: a record of which attempts fail three times, and those behind it, stay unfinished."""
-    from ..streaming.ledger import Ledger, newest, process
-
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = events_log(spark, sf_dir).select("topic", "part", "off", "k", "fails")
     log.write.parquet(f"{root}/log")
@@ -466,7 +561,5 @@ def q_stream_equals_batch(spark, sf_dir):
             raise ValueError("not yet")
 
     ledger = Ledger(spark, f"{root}/ledger")
-    process(spark.readStream.schema(log.schema).parquet(f"{root}/log"), fn, Options(ordering=KEY), ledger, f"{root}/checkpoint").awaitTermination()
-    return newest(ledger.acks())
-
-
+    process(spark.readStream.schema(log.schema).parquet(f"{root}/log"), fn, Options(ordering=KEY, retry_delay=0), ledger, f"{root}/checkpoint").query.awaitTermination()
+    return ledger.known()

@@ -1,97 +1,334 @@
 """Streams with an ack for every record.
 
 Spark's checkpoint keeps how far the source has been read; which records of it
-are finished is kept in a ledger, a table with a folder for each micro-batch.
-A batch that is delivered again replaces its own folder, so outputs and acks of
-a batch are there once.  What a batch leaves unfinished is tried again with the
-next one.
+are finished is kept in a ledger.  Each micro-batch has a folder of acks and one
+of state: finished offsets as runs, and the records that are still open.  The next
+batch reads the newest state only, so its cost goes with what is open and with
+what is new, not with the length of the stream.  A batch counts once its mark is
+written, last of all; one that is delivered again replaces its own folders.  So
+outputs, acks and commits of a batch are there together, and once.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Options
-from ..operators import shards
-from ..plans.runner import Processor
+from ..functions import codec
+from ..model import CommitMode, Options, Status
+from ..operators import offsets, reconcile, shards
+from ..plans.runner import HISTORY, Processor
 
-ID = shards.ID
+ID, PARTITION = shards.ID, offsets.PARTITION
+COMMITS = "topic string, part int, to_commit long, highest_succeeded long, metadata string, encoding string, chars int, encoding_us long, allowed boolean"
 
 
 class Ledger:
-    """Acks under ``path``/batch=n: the log's columns, ok, attempts, reason and, with outputs, made."""
+    """Under ``path``: acks, runs, open and commits, each with a folder for every micro-batch, and marks."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(p) and any(str(x.getPath().getName()).startswith("batch=") for x in fs.listStatus(p))
+    def _at(self, *names) -> object:
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *map(str, names)]))
 
-    def acks(self, before: int | None = None) -> DataFrame | None:
-        if not self._exists():
-            return None
-        df = self.spark.read.option("mergeSchema", "true").parquet(self.path)
-        return df if before is None else df.where(F.col("batch") < before)
+    def marked(self) -> list[int]:
+        """The batches that count."""
+        p = self._at("marks")
+        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def mark(self, batch: int) -> None:
+        self._fs.create(self._at("marks", batch), True).close()
 
-    def put(self, acks: DataFrame, batch: int) -> None:
-        acks.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def put(self, kind: str, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch}")
 
-    def batch(self, batch: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batch={batch}")
+    def get(self, kind: str, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{kind}/batch={batch}")
 
-    def add(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/batch={batch}")
+    def newest(self, kind: str, before: int | None = None) -> DataFrame | None:
+        """The last table of a kind that counts."""
+        for n in reversed(self.marked()):
+            if (before is None or n < before) and self._fs.exists(self._at(kind, f"batch={n}", "_SUCCESS")):
+                return self.get(kind, n)
+        return None
+
+    def acks(self) -> DataFrame | None:
+        """Every ack of the batches that count, with its ``batch``."""
+        batches = self.marked()
+        if not batches:
+            return None
+        df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/acks").parquet(*(f"{self.path}/acks/batch={n}" for n in batches))
+        return df
 
     def finished(self) -> DataFrame | None:
         a = self.acks()
         return None if a is None else a.where("ok").drop("batch")
 
+    def known(self) -> DataFrame | None:
+        """(topic, part, off, ok) of every record that came: finished, or not yet."""
+        acks, left = self.acks(), self.newest("open")
+        return None if acks is None else newest(acks.select(*ID, "ok").union(left.select(*ID, F.lit(False).alias("ok"))))
+
+    def commits(self) -> DataFrame | None:
+        return self.newest("commits")
+
+    def forget(self, before: int) -> None:
+        """Drops states that newer ones replace."""
+        for n in self.marked():
+            if n < before:
+                for kind in ("runs", "open"):
+                    self._fs.delete(self._at(kind, f"batch={n}"), True)
+
 
 def newest(acks: DataFrame) -> DataFrame:
     """The last word on each record: whether any batch finished it."""
     return acks.groupBy(*ID).agg(F.max("ok").alias("ok"))
 
 
-def process(stream: DataFrame, fn: Callable, options: Options, ledger: Ledger, checkpoint: str, out: str | None = None, attempts: int = 3, drain: bool = True):
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """(topic, part, lo, hi): runs that touch or overlap as one."""
+    by = Window.partitionBy(*PARTITION).orderBy("lo", "hi")
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("new", F.coalesce(F.col("lo") > reach + 1, F.lit(True)).cast("int"))
+    return opened.withColumn("n", F.sum("new").over(by)).groupBy(*PARTITION, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("n")
+
+
+def outside_runs(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """Records whose offset lies in no run: the run that began last before an offset decides, found in one sort of both."""
+    names = records.columns
+    own = records.select(F.struct(*names).alias("r"), *PARTITION, F.col("off").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    both = own.unionByName(runs.select(F.lit(None).cast(own.schema["r"].dataType).alias("r"), *PARTITION, "lo", "hi"))
+    last = F.last("hi", ignorenulls=True).over(Window.partitionBy(*PARTITION).orderBy("lo", F.col("hi").asc_nulls_last()))
+    return both.withColumn("end", last).where("r is not null and (end is null or end < lo)").select("r.*")
+
+
+def state_of(runs: DataFrame, left: DataFrame) -> DataFrame:
+    """Partition state from finished runs and open records."""
+    rows = runs.select(*PARTITION, F.col("hi").alias("off"), F.lit(True).alias("succeeded")).unionByName(left.select(*PARTITION, "off", F.lit(False).alias("succeeded")))
+    return offsets.partition_state(rows)
+
+
+class Stream:
+    """A running stream: it can be paused and resumed, asked to commit, watched, and closed."""
+
+    def __init__(self, begin: Callable, options: Options, ledger: Ledger):
+        self._begin, self.options, self.ledger = begin, options, ledger
+        self.hooks: list[Callable] = []
+        self.results: list[Callable] = []
+        self.asked = threading.Event()
+        self.status, self.failure = Status.RUNNING, None
+        self.background = ThreadPoolExecutor(1)
+        self.last_commit = 0.0
+        self.loops = 0
+        self.query = begin()
+
+    def __getattr__(self, name: str):
+        return getattr(self.__dict__["query"], name)
+
+    def add_loop_end_callback(self, f: Callable) -> None:
+        """``f(stream, batch)`` runs at the end of each micro-batch."""
+        self.hooks.append(f)
+
+    def request_commit_asap(self) -> None:
+        """The next micro-batch commits, whether the interval has passed or not."""
+        self.asked.set()
+
+    def pause_if_running(self) -> None:
+        """Takes no more records; the batch that runs is finished, and the ledger and the checkpoint stay."""
+        if self.status is Status.RUNNING:
+            self.status = Status.PAUSED
+            self._settle(self.options.shutdown_timeout)
+            self.query.stop()
+
+    def resume_if_paused(self) -> None:
+        if self.status is Status.PAUSED:
+            self.query, self.status = self._begin(), Status.RUNNING
+
+    def _settle(self, timeout: float) -> None:
+        end = time.monotonic() + timeout
+        while self.query.isActive and self.query.status["isTriggerActive"] and time.monotonic() < end:
+            time.sleep(0.02)
+
+    def failure_cause(self) -> str | None:
+        e = self.query.exception()
+        return str(e) if e is not None else None
+
+    def is_closed_or_failed(self) -> bool:
+        return self.status is Status.CLOSED or self.failure_cause() is not None
+
+    def work_remaining(self) -> int:
+        left = self.ledger.newest("open")
+        return 0 if left is None else left.count()
+
+    def paused_partitions(self) -> int:
+        """Partitions that take no records above their highest succeeded offset; all of them while the stream is paused."""
+        c = self.ledger.commits()
+        return 0 if c is None else c.count() if self.status is Status.PAUSED else c.where("not allowed").count()
+
+    def close(self, drain: bool = False, timeout: float | None = None) -> None:
+        """``drain``: what is buffered is worked off first, for at most the drain timeout; else only the batch that runs is."""
+        if self.status is Status.CLOSED:
+            return
+        self.status = Status.DRAINING if drain else Status.CLOSING
+        if drain and self.query.isActive:
+            worker = threading.Thread(target=self.query.processAllAvailable, daemon=True)
+            worker.start()
+            worker.join(self.options.drain_timeout if timeout is None else timeout)
+        self._settle(self.options.shutdown_timeout if timeout is None else timeout)
+        self.query.stop()
+        self.background.shutdown(wait=True)
+        self.status = Status.CLOSED
+
+
+def retried(f: Callable, times: int, wait: float = 0.0, only: tuple = (Exception,)):
+    """``f()``, tried again up to ``times`` times."""
+    for n in range(times + 1):
+        try:
+            return f()
+        except only:
+            if n == times:
+                raise
+            time.sleep(wait)
+
+
+def process(
+    stream: DataFrame, fn: Callable, options: Options, ledger: Ledger, checkpoint: str, out: str | None = None, attempts: int = 3, drain: bool = True,
+    epochs: Callable[[], DataFrame] | None = None, on_result: Callable | None = None, listener: Callable | None = None, metadata_limit: int = codec.METADATA_LIMIT,
+) -> Stream:
     """Starts a query that runs ``fn`` over a stream of records and keeps the ledger.
 
-    Each micro-batch takes its new records and those that earlier ones left
-    behind, without records that are finished.  ``drain``: ends when all that
-    is there has been read; else it runs on at the options' commit interval.
+    Each micro-batch takes its new records and those that earlier ones left behind,
+    without records that are finished; a record that failed waits for its delay.
+    Records above the highest succeeded offset of a partition whose last commit was
+    not ``allowed`` wait.  ``epochs()`` gives the current (topic, part, epoch) and
+    fences records of others, which are dropped.  ``drain``: ends when all that is
+    there has been read; else it runs on at the options' commit interval.
+
+    Commits are due when the interval has passed or one was asked for, and are
+    written for partitions whose payload changed: in the background in the
+    asynchronous mode, before the batch counts in the others; with transactions at
+    every batch.  ``on_result(row)`` gets each produced record after its batch
+    counts; ``listener(kind, partitions)`` hears of partitions that come or go.
     """
     options.validate(sink=out is not None)
     names = stream.columns
+    held: dict[str, Stream] = {}
+    seen: set = set()
+    started = threading.Event()
+    mode = options.commit_mode
+
+    def commit(batch: int, me: Stream) -> None:
+        runs, left = ledger.get("runs", batch), ledger.get("open", batch)
+        before = ledger.newest("commits", batch)
+        rows = codec.payloads(state_of(runs, left), left, metadata_limit)
+        if before is not None:
+            dirty = offsets.dirty_commits(rows, before.withColumnRenamed("to_commit", "committed"))
+            rows = dirty.unionByName(before.join(dirty, PARTITION, "left_anti"))
+        retried(lambda: ledger.put("commits", rows.select(*(c.split()[0] for c in COMMITS.split(", "))), batch), options.commit_retries)
+        me.last_commit = time.monotonic()
 
     def step(df: DataFrame, batch: int) -> None:
-        old = ledger.acks(before=batch)
-        todo = df.select(names)
-        if old is not None:
-            done = newest(old)
-            left = old.select(names).join(done.where("not ok"), ID, "left_semi")
-            todo = todo.unionByName(left).join(done.where("ok"), ID, "left_anti")
-        p = Processor(df.sparkSession, options, todo, attempts)
+        started.wait()
+        me = held["it"]
+        spark = df.sparkSession
+        runs, left = ledger.newest("runs", batch), ledger.newest("open", batch)
+        new = shards.dedup(df.select(names))
+        for c, kind in zip(HISTORY, ("long", "long", "string")):
+            new = new.withColumn(c, F.lit(0 if c == "attempts" else None).cast(kind))
+        if runs is not None:
+            todo = left.unionByName(outside_runs(new, runs).join(left, ID, "left_anti"))
+        else:
+            todo = new
+        if epochs is not None:
+            todo = reconcile.fence(todo, epochs())[0]
+        if listener:
+            now = {tuple(r) for r in df.select(*PARTITION).distinct().collect()}  # a row a partition
+            if now - seen:
+                listener("assigned", now - seen)
+                seen.update(now)
+        take, kept = todo, None
+        commits = ledger.newest("commits", batch)
+        if commits is not None:
+            s = commits.where("not allowed").select(*PARTITION, "highest_succeeded")
+            blocked = todo.join(s, PARTITION).where("off >= highest_succeeded").drop("highest_succeeded")
+            kept = blocked.select(todo.columns)
+            take = todo.join(blocked.select(*ID), ID, "left_anti")
+        p = Processor(spark, options, take, attempts)
         acks = p.poll(fn) if out is None else p.poll_and_produce_many(fn, out)
-        ledger.put(acks, batch)  # the user's function has run once: what follows reads its acks
-        # Records behind a failing head were not tried: they stay in the ledger too.
-        rest = shards.dedup(todo).join(ledger.batch(batch).select(*ID), ID, "left_anti")
-        ledger.add(rest.withColumn("ok", F.lit(False)).withColumn("attempts", F.lit(0).cast("long")).withColumn("reason", F.lit("waits")), batch)
+        ledger.put("acks", acks, batch)  # the user's function has run once: what follows reads its acks
+        acks = ledger.get("acks", batch)
+        ok = acks.where("ok").select(*PARTITION, F.col("off").alias("lo"), F.col("off").alias("hi"))
+        ledger.put("runs", merge_runs(ok if runs is None else runs.unionByName(ok)), batch)
+        failed = acks.where("not ok").select(*names, *HISTORY)
+        # Records behind a failing head were not tried; they stay open with what they had.
+        rest = take.select(*names, *HISTORY).join(acks.select(*ID), ID, "left_anti")
+        rest = failed.unionByName(rest)
+        ledger.put("open", rest if kept is None else rest.unionByName(kept.select(*names, *HISTORY)), batch)
+        if mode is CommitMode.TRANSACTION or drain or me.asked.is_set() or time.monotonic() - me.last_commit >= options.interval:
+            me.asked.clear()
+            if mode is CommitMode.ASYNC and not drain:
+                me.background.submit(commit, batch, me)
+            else:
+                commit(batch, me)
+        ledger.mark(batch)
+        ledger.forget(batch - 1)
+        if on_result and out is not None:
+            for r in acks.where("ok").select(*ID, F.inline("made")).toLocalIterator():
+                on_result(r)
+        me.loops += 1
+        for f in me.hooks:
+            f(me, batch)
+
+    def begin():
+        writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{options.interval} seconds")).start()
+
+    held["it"] = me = Stream(begin, options, ledger)
+    started.set()
+    return me
+
+
+def run_with_restarts(start: Callable[[], Stream], timeout: float = 0.0, wait: float = 5.0) -> Stream:
+    """Starts a stream, again after ``wait`` seconds where its source refuses, until ``timeout`` seconds have gone."""
+    end = time.monotonic() + timeout
+    while True:
+        try:
+            return start()
+        except Exception:
+            if time.monotonic() + wait > end:
+                raise
+            time.sleep(wait)
+
+
+def restore(records: DataFrame, commits: DataFrame, options: Options | None = None, first_polled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records that still have to run, incomplete offsets) after a cold start from ``commits`` (topic, part, committed, metadata).
+
+    Payloads are decoded; a partition without a commit starts anew.  What the log no
+    longer has is reconciled: a first offset above the committed one drops incompletes
+    below it, one below it discards the partition's state, and incompletes within
+    what was polled but not there were removed by compaction.
+    """
+    options = options or Options()
+    state, todo = reconcile.load(commits, options.foreign_metadata)
+    first = first_polled if first_polled is not None else records.groupBy(*PARTITION).agg(F.min("off").alias("first"))
+    first = first.join(commits.select(*PARTITION, "committed"), PARTITION)
+    rewound = first.where("first < committed").select(*PARTITION)
+    state = state.join(rewound, PARTITION, "left_anti")
+    todo = reconcile.compact(reconcile.truncate(todo, first), records)
+    return offsets.replay(records, state.withColumnRenamed("highest_seen", "highest_succeeded"), todo), todo
 
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{options.interval} seconds")).start()
 
+def pause(stream: Stream) -> None:
+    stream.pause_if_running()
 
-def pause(query) -> None:
-    """Stops taking records; the checkpoint and the ledger let a new query go on from there."""
-    query.stop()
 
+def close(stream: Stream, drain: bool = False) -> None:
+    stream.close(drain)
 
-def close(query, drain: bool = False) -> None:
-    if drain:
-        query.processAllAvailable()
-    query.stop()

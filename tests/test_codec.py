@@ -74,20 +74,69 @@ def test_round_trip(xo, base, name):
 
 
 def test_relational_sizes_are_the_bytes(spark):
-    rows = [("t", p, o, not (o * (p + 3)) % 7 < 3 or o == 499) for p in range(4) for o in range(500)]
+    """Also of the compressed forms, which long ranges with many runs get."""
+    rows = [("t", p, o, not (o * (p + 3)) % 7 < 3 or o == n - 1) for p, n in enumerate((500, 500, 3000, 40_000)) for o in range(n)]
     work = spark.createDataFrame(rows, "topic string, part int, off long, succeeded boolean")
     state = offsets.partition_state(work)
     todo = {}
     for r in offsets.incompletes(work).collect():
         todo.setdefault(r.part, []).append(r.off)
     facts = {s.part: s for s in state.collect()}
-    for r in codec.sizes(work, state).collect():
+    sizes = codec.sizes(work, state)
+    for r in sizes.collect():
         s = facts[r.part]
-        done = codec.bits_of(s.to_commit, s.highest_succeeded - s.to_commit + 1, todo[r.part])
-        assert len(codec.encode_body(r.encoding, done)) == r.size
+        runs = codec.runs_between(s.to_commit, s.highest_succeeded - s.to_commit + 1, todo[r.part])
+        assert len(codec.smallest(sum(runs), runs, r.encoding)[1]) == r.size
+    for r in codec.choose(sizes).collect():
+        s = facts[r.part]
+        data = codec.encode(s.to_commit, s.highest_succeeded, todo[r.part])
+        assert len(data) == r.chars and codec.NAME[base64.b64decode(data)[0]] == r.encoding
+    assert any(r.encoding.endswith("Compressed") for r in codec.choose(sizes).collect())
+
+
+def test_ranges_of_any_length(spark):
+    """One record that is stuck for a billion others."""
+    top = 10**9
+    work = spark.createDataFrame([("t", 0, 5, False), ("t", 0, 6, True), ("t", 0, top, True), ("t", 0, top + 9, False), ("t", 1, 3, True)], "topic string, part int, off long, succeeded boolean")
+    state = offsets.partition_state(work)
+    runs = sorted((r.part, r.run, r.done, r.begins, r.n) for r in codec.run_lengths(work, state).collect())
+    assert runs == [(0, 1, False, 0, 1), (0, 2, True, 1, top - 5)]
+    (c,) = codec.choose(codec.sizes(work, state)).collect()
+    assert (c.encoding, c.size) == ("RunLengthV2", 8)
+    assert [r.off for r in codec.decode_runs(codec.run_lengths(work, state), state).collect()] == [5]
+    paid = {r.part: r for r in codec.payloads(state, offsets.incompletes(work)).collect()}
+    assert codec.decode(5, paid[0].metadata) == (top, [5]) and paid[1].metadata is None and paid[1].allowed
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("xo", min_size=1, max_size=200))
+def test_runs_from_incompletes_alone(xo):
+    todo = codec.from_picture(7, xo)
+    assert codec.runs_between(7, len(xo), todo) == codec.runs_of(codec.bits_of(7, len(xo), todo))
+
+
+def test_helpers():
+    data = codec.byte_array(codec.bits_of(0, 5000, [1, 7]))
+    assert len(data) == 5000
+    for name, (pack, unpack) in codec.HELPERS.items():
+        packed = pack(data)
+        assert len(packed) < 500 and (unpack(packed, len(data)) if name == "snappy" else unpack(packed)) == data
+    assert codec.decode_or_none(5, "?") == (4, []) == codec.decode_or_none(5, "bAA=")[:2]
+
+
+def test_pressure_of_a_partition(spark):
+    """Offsets 0 and 2 unfinished, then only 0, in a forced bitset of 100, 150 and 275 records against 40 characters."""
+    got = []
+    for n, left in ((100, {0, 2}), (150, {0}), (275, {0}), (275, set())):
+        work = spark.createDataFrame([("t", 0, o, o not in left) for o in range(n)], "topic string, part int, off long, succeeded boolean")
+        (p,) = codec.payloads(offsets.partition_state(work), offsets.incompletes(work), limit=40, forced="BitSetV2").collect()
+        got.append((p.chars, p.metadata is not None, p.allowed))
+    assert got == [(28, True, True), (36, True, False), (56, False, False), (0, False, True)]
 
 
 def test_pressure(spark):
     df = spark.createDataFrame([(20,), (26,), (34,), (51,)], "n int").withColumn("chars", codec.chars("n - 1"))
     got = [(r.chars, r.outcome) for r in codec.pressure(df, limit=40).orderBy("n").collect()]
     assert got == [(28, "allow"), (36, "keep and block"), (48, "strip and block"), (68, "strip and block")]
+    none = codec.pressure(df.withColumn("left", codec.F.lit(0)), limit=40, incompletes="left")
+    assert {r.outcome for r in none.collect()} == {"nothing to keep"}

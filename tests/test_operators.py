@@ -105,7 +105,53 @@ def test_options():
 
 def test_load_factor_and_rate():
     f = flow.LoadFactor()
-    assert [f.offer(t, True, True) for t in (1, 2, 3, 4, 4.5)] == [False, True, False, True, False] and f.factor == 4
+    assert [f.offer(t, True, True) for t in (1, 2, 2.1, 4.1, 4.2, 5)] == [False, False, True, False, True, False] and f.factor == 4
     assert not f.offer(10, False, True) and flow.loaded(40, 30, 32, 2) and not flow.loaded(40, 24, 32, 2)
     r = flow.RateLimiter(1.0)
     assert [r.allow(t) for t in (0, 0.5, 1.0)] == [True, False, True]
+
+
+def test_scan_open_shards_and_order(spark):
+    rows = [("t", p, k, o, 0, o != 1, 1 if o < 4 else 2) for p in (0, 10, 2) for k, o in (("a", 1), ("a", 4), ("b", 2), ("b", 3))]
+    work = spark.createDataFrame(rows, "topic string, part int, k string, off long, fails long, succeeded boolean, epoch long")
+    assert sorted((r.part, r.k, r.open) for r in shards.open_shards(work, Ordering.KEY).collect()) == [(0, "a", 1), (2, "a", 1), (10, "a", 1)]
+    assert shards.open_shards(work, Ordering.PARTITION).count() == 3
+    assert [r.part for r in shards.natural_order(work).where("off = 1").collect()] == [0, 2, 10]
+    todo = work.withColumn("succeeded", F.lit(False))
+    now = spark.createDataFrame([("t", 0, 2), ("t", 2, 1)], "topic string, part int, epoch long")
+    state = spark.createDataFrame([("t", 0, 9, False), ("t", 2, 2, False)], "topic string, part int, highest_succeeded long, allowed boolean")
+    assert sorted((r.part, r.off) for r in shards.scan(todo, Ordering.KEY, epochs=now, state=state).collect()) == [(0, 4), (2, 1)]
+
+
+def test_giving_up_partitions(spark):
+    work = spark.createDataFrame([("t", p, o) for p in (0, 1) for o in range(2)], "topic string, part int, off long")
+    paid = spark.createDataFrame([("t", p, 1, None) for p in (0, 1)], "topic string, part int, to_commit long, metadata string")
+    epochs = spark.createDataFrame([("t", p, 4) for p in (0, 1)], "topic string, part int, epoch long")
+    gone = paid.where("part = 1")
+    commits, left, moved = reconcile.give_up(work, paid, epochs, gone)
+    assert [r.part for r in commits.collect()] == [1] and {r.part for r in left.collect()} == {0} and {r.part: r.epoch for r in moved.collect()} == {0: 4, 1: 5}
+    assert reconcile.give_up(work, paid, epochs, gone, lost=True)[0].count() == 0
+
+
+def test_every_meter(spark):
+    from sparrowlog.functions import codec
+    from sparrowlog.operators import metrics
+
+    rows = [("t", p, "k", o, o % 3 == 0, 1, o % 3 == 1, 100, 0) for p in (0, 1) for o in range(10)]
+    work = spark.createDataFrame(rows, "topic string, part int, k string, off long, succeeded boolean, attempts long, in_flight boolean, took_us long, taken_us long")
+    epochs = spark.createDataFrame([("t", 0, 3)], "topic string, part int, epoch long")
+    paid = codec.payloads(offsets.partition_state(work), offsets.incompletes(work))
+    got = metrics.meters(work, Ordering.KEY, paid, epochs, Options(tags={"app": "x"}), status=2, factor=5, paused=1, now_us=20_000_000).collect()
+    assert {r.meter for r in got} == {m for ms in metrics.METERS.values() for m in ms} and len({m for ms in metrics.METERS.values() for m in ms}) == 24
+    value = {(r.meter, r.tags.get("partition") or r.tags.get("encoding")): r.value for r in got}
+    assert value["slow.records", "0"] == 3 and value["assignment.epoch", "0"] == 3 and value["assignment.epoch", "1"] is None and value["waiting.records", None] == 6
+    assert value["payload.ratio.used", "0"] == 8 / 8 and value["dynamic.load.factor", None] == 5 and all(r.tags["app"] == "x" for r in got)
+    reg = metrics.Registry({"app": "x"})
+    reg.add("processed.records", 2, topic="t")
+    reg.add("processed.records", 3, topic="t")
+    reg.set("status", 1)
+    assert reg.get("processed.records", topic="t") == 5 and reg.get("status") == 1
+    reg.remove("status")
+    assert reg.get("status") is None
+    reg.close()
+    assert reg.get("processed.records", topic="t") is None
