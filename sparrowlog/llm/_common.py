@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,18 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+#: Most bytes and rows of an Arrow batch, where the session has Spark's defaults: batches of whole texts must fit into memory whatever texts are long.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4096")}
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Makes the session's Arrow batches small, unless it has bounds of its own."""
+    for key, (usual, small) in BATCH.items():
+        if re.sub("[a-z]+$", "", spark.conf.get(key, usual).lower()) in (usual, "64"):
+            spark.conf.set(key, small)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +63,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
+    spark = bound_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/sparrowlog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
@@ -67,6 +80,7 @@ def discard(*tables: DataFrame) -> None:
 
 def sent(spark: SparkSession, model):
     """A broadcast of a model of this package, class and all, for executors that lack the package; call it in a task."""
+    bound_batches(spark)
     data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: pickle.loads(data.value)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import sent, written
+from ._common import bound_batches, sent, written
 
 #: Vectors of a block and queries that are sent to it together, on average; vectors of a leaf; vectors verified at a time.
 BLOCK, QUERIES, LEAF, PAIRS = 8192, 4096, 64, 100_000
@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     most have (of two equally frequent lengths the smaller counts).  Repeated
     rows are candidates each; of queries with one key the first by vector asks.
     """
-    spark = vectors.sparkSession
+    spark = bound_batches(vectors.sparkSession)
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     v = v.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     v = v.withColumn("dim", F.size("v"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, written
+from ._common import bound_batches, release, written
 from ._text import Powers, byte_codes, mix, space_table, span_hashes, utf8, word_bounds
 from .url_filters import host_of
 
@@ -207,7 +207,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     rows are rows of their own; pages of equal content count once where pages
     of a run are counted.
     """
-    spark = pages.sparkSession
+    spark = bound_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.xxhash64(host_of(url), host_of(url).isNull()).alias("host"), F.col(body).alias("html"))
     rows = rows.withColumn("row", F.xxhash64("host", "key", "url")).select("row", "host", "html", "key", "url")
 

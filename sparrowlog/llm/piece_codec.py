@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sent, with_text
+from ._common import bound_batches, sent, with_text
 from ._text import Powers, chunks, mix, utf8
 
 SPACE = 0x2581  # the sign that stands for a space within pieces
@@ -335,7 +335,7 @@ def decode(encoded: DataFrame, model: PieceTable, keep: tuple[str, ...] = ("doc_
     """
     raw = np.frombuffer(b"".join(model.raw), np.uint8)
     size = np.array([len(x) for x in model.raw], np.int64)
-    shared = encoded.sparkSession.sparkContext.broadcast((raw, np.cumsum(size) - size, size, model.dummy_space))
+    shared = bound_batches(encoded.sparkSession).sparkContext.broadcast((raw, np.cumsum(size) - size, size, model.dummy_space))
     names = list(keep)
 
     def run(batches):

@@ -9,6 +9,7 @@ response in WARC-Refers-To, have its URI and date, and digests of their own.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bound_batches
+
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length long, header string, block string"
@@ -55,7 +58,7 @@ def split_block(block: bytes) -> tuple[str, dict[str, str], bytes]:
 
 def _id(*parts: str) -> str:
     """The same name for the same parts, so that a task that runs again makes the same records."""
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(chr(0).join(parts).encode()).digest(), version=5)}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
 def _record(kind: str, rid: str, refers_to: str, uri: str, date: str, content_type: str, payload_digest: str, block: str) -> tuple:
@@ -118,6 +121,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [[]] * 11
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.int64() if i == 8 else pa.string()) for i, c in enumerate(columns))], names)
 
+    bound_batches(records.sparkSession)
     names = ["key", *(x.split()[0] for x in RECORD.split(", "))]
     return records.select(F.col("key").cast("long"), "record_id", "target_uri", "warc_date", "block").mapInArrow(run, f"key long, {RECORD}")
 
@@ -131,3 +135,41 @@ def write_warc(records: DataFrame, path: str) -> None:
     """Files of records, gzipped, each task its own; the separator of lines is the last character of a record."""
     whole = record_text()
     records.select(F.substring(whole, 1, F.char_length(whole) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """(named fields, block) of each record in the bytes of a file, by the lengths that the records state."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *lines = data[at:end].decode("utf-8").split("\r\n")
+        if first != VERSION:
+            raise ValueError(f"no record begins at byte {at}")
+        fields = {k: v for k, _, v in (line.partition(": ") for line in lines)}
+        begin = end + 4
+        at = begin + int(fields["Content-Length"])
+        out.append((fields, data[begin:at]))
+        if data[at : at + 4] != b"\r\n\r\n":
+            raise ValueError(f"a record does not end at byte {at}")
+        at += 4
+    return out
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """Records of files that write_warc made: record_id, warc_type, refers_to, target_uri, warc_date, content_type, block_digest, payload_digest, content_length, block.
+
+    A file is read whole, so files should be of the usual size of an archive's.
+    """
+    names = ["WARC-Record-ID", "WARC-Type", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Length"]
+    kinds = "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length string, block binary"
+
+    def run(batches):
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                for lo in range(0, len(rows := parse_records(gzip.decompress(raw))), 512):
+                    part = rows[lo : lo + 512]
+                    columns = [pa.array([f.get(n, "") for f, _ in part], pa.string()) for n in names]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([block for _, block in part], pa.binary())], [x.split()[0] for x in kinds.split(", ")])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    return files.mapInArrow(run, kinds).withColumn("content_length", F.col("content_length").cast("long"))

@@ -69,3 +69,69 @@ def test_toxicity_odd_input(spark):
     assert len(out) == 65 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     none = toxicity.learn(docs, marks.limit(0))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_risk_and_its_slope():
+    """Against differences of the risk; where the negatives' part is below 0, against that part alone, uphill."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    n_u = rng.integers(1, 5, 30)
+    for shift in (0.0, 8.0):
+        z_p, z_u, prior = rng.normal(size=12) + shift, rng.normal(size=30) - shift, 0.3
+        value, g_p, g_u = toxicity.risk(z_p, z_u, n_u, prior)
+        plus = lambda z: np.log1p(np.exp(z))
+        rest = lambda a, b: (n_u * plus(b)).sum() / n_u.sum() - prior * plus(a).mean()
+        whole = lambda a, b: prior * plus(-a).mean() + rest(a, b)
+        assert np.isclose(value, prior * plus(-z_p).mean() + max(0, rest(z_p, z_u)))
+        assert (rest(z_p, z_u) < 0) == (shift > 0)
+        f, sign = (whole, 1) if shift == 0 else (rest, -1)
+        for i in range(12):
+            d = np.zeros(12)
+            d[i] = 1e-6
+            assert np.isclose(sign * (f(z_p + d, z_u) - f(z_p - d, z_u)) / 2e-6, g_p[i], atol=1e-7)
+        for i in range(30):
+            d = np.zeros(30)
+            d[i] = 1e-6
+            assert np.isclose(sign * (f(z_p, z_u + d) - f(z_p, z_u - d)) / 2e-6, g_u[i], atol=1e-7)
+
+
+def test_features_and_counts_against_sets():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [invented(rng, "abcd", rng.randint(0, 30)) for _ in range(50)] + ["", None, "abc " * 5000]
+    grams = {f" {t or ''} "[i : i + n] for t in texts[:5] for n in toxicity.SIZES for i in range(len(t or "") + 3 - n)}
+    number = lambda g: (len(g) << 8 * len(g)) | int.from_bytes(g.encode(), "big")
+    import numpy as np
+
+    known = np.array(sorted(number(g) for g in grams), np.uint64)
+    got = []
+    for i, j, doc, at in toxicity._found(pa.array(texts), known, toxicity._mask(known)):
+        got += [{int(known[x]) for x in at[doc == d]} for d in range(j - i)]
+    want = [{number(g) for g in grams if g in f" {(t or '').strip()} "} for t in texts]
+    assert got == want
+
+
+def test_filters_against_plain_sets(spark):
+    """Without Bloom filters: the share of a text's n-grams that each language's set holds."""
+    rng = random.Random(5)
+    rows = [(i, invented(rng, ALPHABETS[lang], 40), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df.where("doc_id < 45"))
+    n = language_id.GRAM
+    of = lambda t: [f" {t} "[i : i + n] for i in range(len(t) + 3 - n)]
+    counts = {}
+    for i, t, lang in rows[:45]:
+        for g in of(t):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    share = {x: {g: c / sum(own.values()) for g, c in own.items() if c >= 2} for x, own in counts.items()}
+    best = {}
+    for own in share.values():
+        for g, p in own.items():
+            best[g] = max(best.get(g, 0), p)
+    sets = {x: {g for g, p in own.items() if p >= language_id.SHARE * best[g]} for x, own in share.items()}
+    for r in language_id.predict(df, model, keep=("doc_id", "text")).collect():
+        plain = {x: sum(g in s for g in of(r.text)) / len(of(r.text)) for x, s in sets.items()}
+        assert plain[r.lang_pred] >= max(plain.values()) - 0.02 and abs(r.score - plain[r.lang_pred]) < 0.05

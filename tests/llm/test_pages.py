@@ -2,10 +2,11 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 
 from sparrowlog.llm.html_text import blocks_of, main_text
 from sparrowlog.llm.url_filters import evaluate, intervals
-from sparrowlog.llm.warc import derivatives, responses, split_block, write_warc
+from sparrowlog.llm.warc import derivatives, read_warc, responses, split_block, write_warc
 
 
 def page(body, title="T"):
@@ -86,4 +87,75 @@ def test_warc_links_and_digests(spark, tmp_path):
     write_warc(derivatives(src), str(tmp_path / "w"))
     raw = b"".join(gzip.open(tmp_path / "w" / f).read() for f in os.listdir(tmp_path / "w") if f.endswith(".gz"))
     assert raw.count(b"WARC/1.1\r\n") == 8
+    back = read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.record_id, r.refers_to, r.warc_type, bytes(r.block).decode(), r.content_length) for r in back) == sorted((r.record_id, r.refers_to, r.warc_type, r.block, r.content_length) for r in out)
+    assert [x.split(":")[0] for x in out[0].header.split("\r\n")[1:4]] == ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To"]
     assert derivatives(src.limit(0)).collect() == []
+
+
+def plain_main_text(rows):
+    """The same by counting every run of every page with dictionaries."""
+    from sparrowlog.llm.html_text import PAGES, RUN
+
+    parsed, places, contents = [], {}, {}
+    for key, url, html in rows:
+        blocks = blocks_of(html or "")
+        host = (url or "").split("/")[2] if "//" in (url or "") else ("" if url else None)
+        words = [(w, main) for t, main in blocks for w in t.split(" ")]
+        runs = [(host, tuple(w for w, _ in words[i : i + RUN])) for i in range(len(words) - RUN + 1)]
+        content = (host, tuple(t for t, _ in blocks))
+        for i, r in enumerate(runs):
+            places.setdefault(r, []).append(words[i][1])
+            contents.setdefault(r, set()).add(content)
+        parsed.append((key, blocks, runs))
+    bad = {r for r, where in places.items() if len(contents[r]) >= PAGES and 2 * where.count(False) >= len(where) and False in where}
+    out = []
+    for key, blocks, runs in parsed:
+        gone = {j for i, r in enumerate(runs) if r in bad for j in range(i, i + RUN)}
+        kept, at = [], 0
+        for t, _ in blocks:
+            words = t.split(" ")
+            left = " ".join(w for j, w in enumerate(words, at) if j not in gone)
+            at += len(words)
+            if left:
+                kept.append(left)
+        out.append((key, "\n\n".join(kept)))
+    return out
+
+
+def test_runs_against_brute_force(spark):
+    rng = random.Random(11)
+    phrase = [" ".join(f"p{i}x{j}" for j in range(rng.randint(6, 14))) for i in range(12)]
+    rows = []
+    for n in range(160):
+        parts = [rng.choice(phrase) if rng.random() < 0.6 else " ".join(f"u{n}x{j}" for j in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 6))]
+        inner = [rng.choice(phrase[:4]) if rng.random() < 0.4 else f"story {n} " * 4 for _ in range(rng.randint(0, 3))]
+        article = "<article>" + "".join(f"<p>{x}</p>" for x in inner) + "<div class='legal'>" + rng.choice(phrase) + "</div></article>" if inner else ""
+        rows.append((n, f"http://{rng.choice('abc')}.example/{n}", "<body>" + "".join(f"<div>{x}</div>" for x in parts) + article))
+    rows += [(200, None, rows[0][2]), (201, "", rows[1][2]), rows[2], rows[2]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in main_text(df).collect())
+    want = sorted(plain_main_text(rows))
+    assert got == want
+    assert sum(t != "\n\n".join(x for x, _ in blocks_of(h)) for (_, t), (_, _, h) in zip(sorted(want), sorted(rows))) > 20  # it does cut
+
+
+def test_text_does_not_change_with_the_size_of_its_host(spark):
+    line = "a line that stands on four pages of this site and no more"
+    page_of = lambda i: f"<div>{' '.join(f't{i}x{j}' for j in range(9))}</div>" + (f"<div>{line}</div>" if i < 4 else "")
+    got = []
+    for n in (6, 3000):
+        df = spark.createDataFrame([(i, f"http://a.example/{i}", page_of(i)) for i in range(n)], "page_id long, url string, html string")
+        got.append({r.page_id: r.text for r in main_text(df).where("page_id < 6").collect()})
+    assert got[0] == got[1] and not any(line in t for t in got[0].values())
+
+
+def test_markup_that_authors_leave_open():
+    assert blocks_of("<html><head><title>T</title><body><article><p>x</article>") == [("x", True)]
+    assert blocks_of("<head><meta charset=utf8><title>T</title><p>Hello") == [("Hello", False)]
+    assert blocks_of("<body><button>Go<article>a</article>") == [("a", True)]
+    assert blocks_of("<body><video><p>none<main>m<footer>f</footer></main><nav>n") == [("m", True)]
+    whole = "<article>a<div class='legal'>terms</div><div class='search-results'>r</div><figure><figcaption>cap</figcaption></figure><label>lab</label><math>x</math><div class='comments'>c</div></article>"
+    assert blocks_of(whole) == [("a", True), ("terms", False), ("r", False), ("cap", True), ("labx", True)]
+    long = "<article>" + "<p>" + "word " * 200_000 + "</article>"
+    assert len(blocks_of(long)[0][0]) == 5 * 200_000 - 1

@@ -53,3 +53,52 @@ def test_block_tables_find_all(spark):
     for agree in (1, 2):
         got = [((r.q1 % 2**64) << 64 | r.q2 % 2**64, (r.f1 % 2**64) << 64 | r.f2 % 2**64, r.distance) for r in within_radius(q, df, 3, agree).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fingerprint_bit_by_bit(spark):
+    import struct
+
+    import xxhash
+
+    from sparrowlog.llm.simhash import LONG_WORD
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    one = lambda data, seed=42: signed(xxhash.xxh64(data, seed=seed % 2**64).intdigest())
+    long = lambda x, seed=42: one(struct.pack("<q", x), seed)
+    small = lambda x, seed: one(struct.pack("<i", x), seed)
+
+    def brute(text):
+        words = (text or "").lower().strip(" \t\n\f\r")
+        import re
+
+        hashed = [(one(w.encode()) & -2) | (len(w) >= LONG_WORD) for w in re.split(r"[ \t\n\x0b\f\r]+", words)]
+        votes, total = [0] * 128, 0
+        for a, b in zip(hashed, [*hashed[1:], None]):
+            # A null leaves the hash as it was.
+            t = ((long(a) if b is None else long(b, long(a))) & -2) | (a & (b or 0) & 1)
+            w = 1 + (t & 1)
+            total += w
+            h = [small(11, long(t)) % 2**64, small(23, long(t)) % 2**64]
+            for i in range(128):
+                votes[i] += w * (h[i // 64] >> i % 64 & 1)
+        f = [sum(1 << i for i in range(64) if 2 * votes[64 * k + i] > total) for k in (0, 1)]
+        return signed(f[0]), signed(f[1])
+
+    rng = random.Random(8)
+    texts = ["", "one", "Two  words", "é É ß", "x " * 3000] + [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    for t in texts:
+        (r,) = fingerprints(spark.createDataFrame([(t,)], "text string")).collect()
+        assert (r.f1, r.f2) == brute(t)
+
+
+def test_ranges_by_halving(spark):
+    """Many ranges, ids in clusters, and repeats at their edges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i, f"t{i}") for i in [*range(50), *range(10**12, 10**12 + 50), 7, 7, 49]]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 37)
+        got = sorted((r.doc_id, r.text, r.next_text) for r in with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows)
+    assert got == sorted((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
