@@ -23,6 +23,11 @@ def ready(now_us: int) -> str:
     return f"(attempts = 0 OR retry_due <= {now_us})"
 
 
+def available(now_us: int) -> str:
+    """SQL: not out for processing, not done, and due."""
+    return f"(not in_flight AND not succeeded AND {ready(now_us)})"
+
+
 def queue(failures: DataFrame) -> DataFrame:
     """The newest failure of each record (by ``attempt``), in the order of ``retry_due`` when sorted by it."""
     w = Window.partitionBy(*ID).orderBy(F.desc("attempt"))

@@ -332,6 +332,13 @@ def q_retry_due(spark, sf_dir):
     return retry.due(failed(spark, sf_dir)).withColumn("ready", F.expr(retry.ready(NOW))).select("part", "off", "retry_due", "ready")
 
 
+@query(f"WITH {FREE_WORK} SELECT part, off FROM work WHERE off % 4 <> 0 AND NOT succeeded AND (attempts = 0 OR ts_us + attempts * 250000 + 1000000 <= {NOW})")
+def q_available(spark, sf_dir):
+    """Every fourth record is out for processing."""
+    w = shards.after_round(events_log(spark, sf_dir), FREE, 2).withColumn("last_failed_us", F.expr("ts_us + attempts * 250000")).withColumn("in_flight", F.expr("off % 4 = 0"))
+    return retry.due(w).where(retry.available(NOW)).select("part", "off")
+
+
 @query(f"WITH {FAILED} SELECT part, count(*) AS waiting, count(*) FILTER (WHERE last_failed_us + 1000000 <= {NOW}) AS ready, min(last_failed_us + 1000000) AS next_due FROM f GROUP BY part")
 def q_next_retry(spark, sf_dir):
     return retry.next_retry(retry.due(failed(spark, sf_dir)).withColumn("now_us", F.lit(NOW))).drop("topic")

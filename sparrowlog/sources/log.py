@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..model import Options
+
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a log of 12 partitions keyed by user.
@@ -37,14 +39,24 @@ def files(spark: SparkSession, path: str, schema, stream: bool = False, files_pe
     return reader.parquet(path)
 
 
-def broker(spark: SparkSession, servers: str, topics: list[str] | None = None, pattern: str | None = None, stream: bool = True, offsets_per_trigger: int | None = None, **options: str) -> DataFrame:
-    """A log of a broker, by a list of topics or a pattern; needs Spark's connector.  Spark keeps the offsets, so the client's own commits stay off."""
+def per_trigger(settings: Options, factor: int | None = None) -> int:
+    """Records that make a stream sufficiently loaded: the target in flight times the load factor."""
+    return settings.target * (factor or settings.load_factor())
+
+
+def broker(spark: SparkSession, servers: str, topics: list[str] | None = None, pattern: str | None = None, stream: bool = True, offsets_per_trigger: int | None = None, settings: Options | None = None, **options: str) -> DataFrame:
+    """A log of a broker, by a list of topics or a pattern; needs Spark's connector.  Spark keeps the offsets, so the client's own commits stay off.
+
+    Without ``offsets_per_trigger`` a stream takes, at a time, what ``settings`` would hold ready.
+    """
     if bool(topics) == bool(pattern):
         raise ValueError("give either topics or a pattern")
     if str(options.get("kafka.enable.auto.commit", "false")).lower() == "true":
         raise ValueError("offsets are kept by the engine: auto commit must be off")
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers)
     reader = reader.option("subscribe", ",".join(topics)) if topics else reader.option("subscribePattern", pattern)
+    if stream and offsets_per_trigger is None and settings is not None:
+        offsets_per_trigger = per_trigger(settings)
     if offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", offsets_per_trigger)
     for name, value in options.items():

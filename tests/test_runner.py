@@ -9,7 +9,7 @@ from sparrowlog.functions import codec
 from sparrowlog.model import CommitMode, Options, Ordering, Status
 from sparrowlog.operators import offsets
 from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, produced, progress, work_remaining
-from sparrowlog.sources.log import broker, files
+from sparrowlog.sources.log import broker, files, per_trigger
 from sparrowlog.streaming.ledger import Ledger, close, merge_runs, outside_runs, process, restore, retried, run_with_restarts
 
 SCHEMA = "topic string, part int, off long, k string, value long"
@@ -323,6 +323,7 @@ def test_commits_and_sources_are_tried_again():
 
 
 def test_broker_options(spark):
+    assert per_trigger(Options(max_concurrency=10, batch_size=2)) == 40 and per_trigger(Options(max_concurrency=10), 5) == 50
     with pytest.raises(ValueError):
         broker(spark, "x:1")
     with pytest.raises(ValueError):
