@@ -6,7 +6,7 @@ import random
 
 from sparrowlog.llm.html_text import blocks_of, main_text
 from sparrowlog.llm.url_filters import evaluate, intervals
-from sparrowlog.llm.warc import derivatives, read_warc, responses, split_block, write_warc
+from sparrowlog.llm.warc import derivatives, plain_text, read_warc, responses, split_block, write_warc
 
 
 def page(body, title="T"):
@@ -93,6 +93,14 @@ def test_warc_links_and_digests(spark, tmp_path):
     assert derivatives(src.limit(0)).collect() == []
 
 
+def test_plain_text_of_a_response():
+    page_ = "<html><head><title>T</title><style>p{}</style></head><body><h1>A &amp; b</h1><p>one\n two<br>three</p><script>x</script><ul><li>four<li>five</ul><!-- six --><p></p>&lt;seven&gt;</body></html>"
+    assert plain_text(page_) == "A & b\none\ntwo\nthree\nfour\nfive\n<seven>"
+    assert plain_text("<head><title>T</title><body>b") == "b" and plain_text("") == ""
+    status, fields, payload = split_block(b"HTTP/1.1 200 OK\r\nA: 1\r\nX: y\r\na: 2\r\n\r\nbody\r\n\r\nrest")
+    assert (status, fields, payload) == ("HTTP/1.1 200 OK", {"a": "1, 2", "x": "y"}, b"body\r\n\r\nrest")
+
+
 def plain_main_text(rows):
     """The same by counting every run of every page with dictionaries."""
     from sparrowlog.llm.html_text import PAGES, RUN
