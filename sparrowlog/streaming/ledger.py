@@ -38,10 +38,16 @@ class Ledger:
     def _at(self, *names) -> object:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *map(str, names)]))
 
-    def marked(self) -> list[int]:
-        """The batches that count."""
-        p = self._at("marks")
-        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(p)) if self._fs.exists(p) else []
+    def _names(self, kind: str) -> list[str]:
+        p = self._at(kind)
+        return [x.getPath().getName() for x in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def _batches(self, kind: str) -> list[int]:
+        return sorted(int(x.removeprefix("batch=")) for x in self._names(kind) if x.startswith("batch="))
+
+    def last(self) -> int:
+        """The last batch that counts, as do all before it; -1 if there is none."""
+        return max((int(x) for x in self._names("marks")), default=-1)
 
     def mark(self, batch: int) -> None:
         self._fs.create(self._at("marks", batch), True).close()
@@ -53,19 +59,17 @@ class Ledger:
         return self.spark.read.parquet(f"{self.path}/{kind}/batch={batch}")
 
     def newest(self, kind: str, before: int | None = None) -> DataFrame | None:
-        """The last table of a kind that counts."""
-        for n in reversed(self.marked()):
-            if (before is None or n < before) and self._fs.exists(self._at(kind, f"batch={n}", "_SUCCESS")):
+        """The last whole table of a kind that counts."""
+        last = self.last()
+        for n in reversed(self._batches(kind)):
+            if n <= last and (before is None or n < before) and self._fs.exists(self._at(kind, f"batch={n}", "_SUCCESS")):
                 return self.get(kind, n)
         return None
 
     def acks(self) -> DataFrame | None:
         """Every ack of the batches that count, with its ``batch``."""
-        batches = self.marked()
-        if not batches:
-            return None
-        df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/acks").parquet(*(f"{self.path}/acks/batch={n}" for n in batches))
-        return df
+        last = self.last()
+        return None if last < 0 else self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/acks").where(F.col("batch") <= last)
 
     def finished(self) -> DataFrame | None:
         a = self.acks()
@@ -80,11 +84,14 @@ class Ledger:
         return self.newest("commits")
 
     def forget(self, before: int) -> None:
-        """Drops states that newer ones replace."""
-        for n in self.marked():
-            if n < before:
-                for kind in ("runs", "open"):
-                    self._fs.delete(self._at(kind, f"batch={n}"), True)
+        """Drops states, commits and marks that newer ones replace, so that none of them grows with the stream."""
+        old = [(kind, n) for kind in ("runs", "open") for n in self._batches(kind) if n < before]
+        old += [("commits", n) for n in [n for n in self._batches("commits") if n < before][:-1]]
+        for kind, n in old:
+            self._fs.delete(self._at(kind, f"batch={n}"), True)
+        for x in self._names("marks"):
+            if int(x) < before:
+                self._fs.delete(self._at("marks", x), False)
 
 
 def newest(acks: DataFrame) -> DataFrame:
@@ -121,10 +128,10 @@ class Stream:
     def __init__(self, begin: Callable, options: Options, ledger: Ledger):
         self._begin, self.options, self.ledger = begin, options, ledger
         self.hooks: list[Callable] = []
-        self.results: list[Callable] = []
         self.asked = threading.Event()
         self.status, self.failure = Status.RUNNING, None
         self.background = ThreadPoolExecutor(1)
+        self.pending = None
         self.last_commit = 0.0
         self.loops = 0
         self.query = begin()
@@ -157,7 +164,7 @@ class Stream:
             time.sleep(0.02)
 
     def failure_cause(self) -> str | None:
-        e = self.query.exception()
+        e = self.failure or self.query.exception()
         return str(e) if e is not None else None
 
     def is_closed_or_failed(self) -> bool:
@@ -231,12 +238,19 @@ def process(
         if before is not None:
             dirty = offsets.dirty_commits(rows, before.withColumnRenamed("to_commit", "committed"))
             rows = dirty.unionByName(before.join(dirty, PARTITION, "left_anti"))
-        retried(lambda: ledger.put("commits", rows.select(*(c.split()[0] for c in COMMITS.split(", "))), batch), options.commit_retries)
+        try:
+            retried(lambda: ledger.put("commits", rows.select(*(c.split()[0] for c in COMMITS.split(", "))), batch), options.commit_retries, 0.1)
+        except Exception as e:
+            me.failure = e
+            raise
         me.last_commit = time.monotonic()
 
     def step(df: DataFrame, batch: int) -> None:
         started.wait()
         me = held["it"]
+        if me.pending is not None:
+            me.pending.result()  # a commit in the background ends before its state may go
+            me.pending = None
         spark = df.sparkSession
         runs, left = ledger.newest("runs", batch), ledger.newest("open", batch)
         new = shards.dedup(df.select(names))
@@ -274,7 +288,7 @@ def process(
         if mode is CommitMode.TRANSACTION or drain or me.asked.is_set() or time.monotonic() - me.last_commit >= options.interval:
             me.asked.clear()
             if mode is CommitMode.ASYNC and not drain:
-                me.background.submit(commit, batch, me)
+                me.pending = me.background.submit(commit, batch, me)
             else:
                 commit(batch, me)
         ledger.mark(batch)
