@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import METADATA_LIMIT, Options, Ordering
@@ -69,6 +69,15 @@ def meters(work: DataFrame, ordering: Ordering, payloads: DataFrame, epochs: Dat
     return by_part.unionByName(of_all).unionByName(used).select("meter", "tags", "value")
 
 
+def observed(acks: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """The acks of a run, and its meters once an action has read them: no pass of their own."""
+    seen = Observation(name)
+    return acks.observe(
+        seen, F.expr("count_if(ok)").alias("processed.records"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("failed.records"),
+        (F.coalesce(F.sum("took_us"), F.lit(0)) / 1e6).alias("user.function.processing.time"), F.expr("count_if(not ok)").alias("waiting.records"),
+    ), seen
+
+
 class Registry:
     """Meters by name and tags, as a process keeps them: made once, read, and closed together."""
 

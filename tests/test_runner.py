@@ -7,7 +7,7 @@ import pytest
 
 from sparrowlog.functions import codec
 from sparrowlog.model import CommitMode, Options, Ordering, Status
-from sparrowlog.operators import offsets
+from sparrowlog.operators import metrics, offsets
 from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, produced, progress, work_remaining
 from sparrowlog.sources.log import broker, files, per_trigger
 from sparrowlog.streaming.ledger import Ledger, close, merge_runs, outside_runs, process, restore, retried, run_with_restarts
@@ -305,6 +305,12 @@ def test_sinks_and_callbacks(spark, tmp_path):
     assert list(r.stream()) == [1, 2] and list(r.stream()) == []
 
 
+def test_a_run_is_observed(spark):
+    acks, seen = metrics.observed(Processor(spark, Options(retry_delay=0), log(spark, 10)).poll(lambda b: 1 / (b.value - 3)))
+    acks.collect()
+    assert seen.get["processed.records"] == 9 and seen.get["failed.records"] == 3 and seen.get["waiting.records"] == 1
+
+
 def test_commits_and_sources_are_tried_again():
     tried = []
 
