@@ -128,10 +128,11 @@ class Stream:
     def __init__(self, begin: Callable, options: Options, ledger: Ledger):
         self._begin, self.options, self.ledger = begin, options, ledger
         self.hooks: list[Callable] = []
+        self.finish: Callable = lambda: None
         self.asked = threading.Event()
         self.status, self.failure = Status.RUNNING, None
         self.background = ThreadPoolExecutor(1)
-        self.pending = None
+        self.pending = self.uncommitted = None
         self.last_commit = 0.0
         self.loops = 0
         self.query = begin()
@@ -184,12 +185,19 @@ class Stream:
         if self.status is Status.CLOSED:
             return
         self.status = Status.DRAINING if drain else Status.CLOSING
-        if drain and self.query.isActive:
-            worker = threading.Thread(target=self.query.processAllAvailable, daemon=True)
-            worker.start()
-            worker.join(self.options.drain_timeout if timeout is None else timeout)
+        end = time.monotonic() + (self.options.drain_timeout if timeout is None else timeout)
+        quiet, last = 0, None
+        while drain and quiet < 2 and self.query.isActive and time.monotonic() < end:
+            # Two triggers without new records, and nothing open.
+            p = self.query.lastProgress
+            if p is not None and p["timestamp"] != last:
+                last = p["timestamp"]
+                new = sum(x["numInputRows"] for x in p["sources"] if not x["description"].startswith("Rate"))
+                quiet = 0 if new or self.work_remaining() else quiet + 1
+            time.sleep(0.02)
         self._settle(self.options.shutdown_timeout if timeout is None else timeout)
         self.query.stop()
+        self.finish()
         self.background.shutdown(wait=True)
         self.status = Status.CLOSED
 
@@ -213,6 +221,8 @@ def process(
 
     Each micro-batch takes its new records and those that earlier ones left behind,
     without records that are finished; a record that failed waits for its delay.
+    A clock beside the stream lets batches begin without new records, so that what
+    was left behind is tried again, and what is not yet committed is, in time.
     Records above the highest succeeded offset of a partition whose last commit was
     not ``allowed`` wait.  ``epochs()`` gives the current (topic, part, epoch) and
     fences records of others, which are dropped.  ``drain``: ends when all that is
@@ -244,15 +254,32 @@ def process(
             me.failure = e
             raise
         me.last_commit = time.monotonic()
+        if me.uncommitted == batch:
+            me.uncommitted = None
+
+    def due(me: Stream) -> bool:
+        asked = me.asked.is_set()
+        me.asked.clear()
+        return asked or time.monotonic() - me.last_commit >= options.interval
 
     def step(df: DataFrame, batch: int) -> None:
         started.wait()
         me = held["it"]
+        work(df, batch, me)
+        me.loops += 1
+        for f in me.hooks:
+            f(me, batch)
+
+    def work(df: DataFrame, batch: int, me: Stream) -> None:
         if me.pending is not None:
             me.pending.result()  # a commit in the background ends before its state may go
             me.pending = None
         spark = df.sparkSession
         runs, left = ledger.newest("runs", batch), ledger.newest("open", batch)
+        if not drain and df.isEmpty() and (left is None or left.isEmpty()):
+            if me.uncommitted is not None and due(me):
+                commit(me.uncommitted, me)
+            return
         new = shards.dedup(df.select(names))
         for c, kind in zip(HISTORY, ("long", "long", "string")):
             new = new.withColumn(c, F.lit(0 if c == "attempts" else None).cast(kind))
@@ -285,8 +312,8 @@ def process(
         rest = take.select(*names, *HISTORY).join(acks.select(*ID), ID, "left_anti")
         rest = failed.unionByName(rest)
         ledger.put("open", rest if kept is None else rest.unionByName(kept.select(*names, *HISTORY)), batch)
-        if mode is CommitMode.TRANSACTION or drain or me.asked.is_set() or time.monotonic() - me.last_commit >= options.interval:
-            me.asked.clear()
+        me.uncommitted = batch
+        if mode is CommitMode.TRANSACTION or drain or due(me):
             if mode is CommitMode.ASYNC and not drain:
                 me.pending = me.background.submit(commit, batch, me)
             else:
@@ -296,15 +323,25 @@ def process(
         if on_result and out is not None:
             for r in acks.where("ok").select(*ID, F.inline("made")).toLocalIterator():
                 on_result(r)
-        me.loops += 1
-        for f in me.hooks:
-            f(me, batch)
 
     def begin():
-        writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        source = stream
+        if not drain:
+            clock = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+            source = stream.unionByName(clock.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields)))
+        writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{options.interval} seconds")).start()
 
     held["it"] = me = Stream(begin, options, ledger)
+
+    def finish() -> None:
+        """What a stream that closes has not committed."""
+        if me.pending is not None:
+            me.pending.result()
+        if me.uncommitted is not None:
+            commit(me.uncommitted, me)
+
+    me.finish = finish
     started.set()
     return me
 

@@ -133,6 +133,26 @@ def test_stream_is_paused_resumed_and_closed(spark, tmp_path):
     assert {r.part: r.to_commit for r in s.ledger.commits().collect()} == {0: 15, 1: 14, 2: 14}
 
 
+def test_left_records_are_tried_without_new_ones(spark, tmp_path):
+    path, marker = str(tmp_path / "log"), str(tmp_path / "fixed")
+    log(spark, 9).write.parquet(path)
+
+    def fn(b):
+        import os
+
+        if b.value == 4 and not os.path.exists(marker):
+            raise ValueError("later")
+
+    s = process(files(spark, path, SCHEMA, stream=True), fn, Options(commit_interval=0.3, retry_delay=0.1), Ledger(spark, str(tmp_path / "ledger")), str(tmp_path / "checkpoint"), attempts=1, drain=False)
+    end = time.time() + 60
+    while s.loops < 1 and time.time() < end:
+        time.sleep(0.1)
+    assert s.work_remaining() == 1
+    open(marker, "w").close()
+    s.close(drain=True, timeout=60)
+    assert s.work_remaining() == 0 and s.failure_cause() is None and {r.part: r.to_commit for r in s.ledger.commits().collect()} == {0: 3, 1: 3, 2: 3}
+
+
 def test_payload_pressure_holds_new_records(spark, tmp_path):
     """Until a partition's payload is short enough, only records below its highest succeeded offset are taken."""
     path, marker = str(tmp_path / "log"), str(tmp_path / "fixed")
