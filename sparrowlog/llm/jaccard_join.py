@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,8 +211,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists = written(_prefixes(shared, percent), "lists")
     discard(shared)
     by_token = Window.partitionBy("token")
-    heads = F.broadcast(lists.where("hot").groupBy("token").agg(F.min("d").alias("head"), F.count("*").alias("c")))  # at most HOT rows
-    counted = lists.where("not hot").withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token)).unionByName(lists.where("hot").join(heads, "token"))
+    counted = lists.where("not hot").withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token))
+    heads = lists.where("hot").groupBy("token").agg(F.min("d").alias("head"), F.count("*").alias("c")).orderBy("token").toPandas()  # at most HOT rows
+    if len(heads):
+        facts = docs.sparkSession.sparkContext.broadcast(tuple(heads[c].to_numpy(np.int64) for c in ("token", "head", "c")))
+
+        def of_frequent(batches):
+            tokens, head, c = facts.value
+            for b in batches:
+                token = b.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+                found = pa.array(tokens[at] == token)
+                yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(found, pa.array(head[at]), None), pa.array(c[at])], [*b.schema.names, "head", "c"])
+
+        kinds = ", ".join(f"{c} {t}" for c, t in counted.dtypes)
+        counted = counted.unionByName(lists.select(counted.columns[:-2]).mapInArrow(of_frequent, kinds).where("head is not null"))
     long = counted.where(f"c > {SHORT}").select("head", "d", "n")
     short = counted.where(f"c between 2 and {SHORT}")
     x = short.select("token", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "matches", "layer")))
@@ -285,10 +299,27 @@ def _shared(reps: DataFrame) -> DataFrame:
     rest = entries.withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
     if not len(tokens):
         return rest.where("df > 1")
-    own = reps.select("tokens").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
-    hot = F.broadcast(spark.createDataFrame([(int(t), int(n)) for t, n in zip(own["token"], own["df"])], "token long, df long"))  # at most HOT rows
-    cold = entries.join(hot.select("token"), "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
-    return cold.unionByName(entries.join(hot, "token").withColumn("hot", F.lit(True))).where("df > 1")
+    own = reps.select("tokens").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).orderBy("token").toPandas()
+    facts = spark.sparkContext.broadcast((own["token"].to_numpy(np.int64), own["df"].to_numpy(np.int64)))
+
+    def of_frequent(batches):
+        tokens, df = facts.value
+        for b in batches:
+            flat, size = b.column(3).flatten().to_numpy(), np.diff(b.column(3).offsets.to_numpy())
+            at = np.searchsorted(tokens, flat)
+            at[at == len(tokens)] = 0
+            hit = np.flatnonzero(tokens[at] == flat)
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            place = hit - (np.cumsum(size) - size)[row]
+            for lo in range(0, len(hit), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                own = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), b.column(2).take(own), pa.array(place[part].astype(np.int32)), pa.array(flat[hit[part]]), pa.array(df[at[hit[part]]])], ["d", "n", "n_region", "at", "token", "df"])
+
+    frequent = reps.select("d", "n", "n_region", "tokens").mapInArrow(of_frequent, "d long, n int, n_region int, at int, token long, df long").withColumn("hot", F.lit(True))
+    known = F.broadcast(spark.createDataFrame([(int(t),) for t in own["token"]], "token long"))  # at most HOT rows
+    cold = entries.join(known, "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
+    return cold.unionByName(frequent).where("df > 1")
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
