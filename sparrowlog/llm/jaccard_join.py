@@ -41,7 +41,7 @@ from ._text import Powers, byte_codes, chunks, counted, distinct, shingles, spac
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
 #: Lists of at most so many documents are joined to pairs; documents and shingles of a block of a cluster, on average.
-SHORT, BLOCK, ITEMS = 4, 2048, 1 << 20
+SHORT, BLOCK, ITEMS = 4, 512, 1 << 18
 #: What has more than one in so many of all list entries, or rows, is broadcast: at most so many rows.
 HOT = 4096
 #: Most bits, as a power of two, of the map of documents whose sets are read.
