@@ -28,7 +28,7 @@ from ._text import byte_grams, chunks, counted, gram_pairs, letter_stream, lette
 #: Bytes of the n-grams.
 SIZES = (4, 6)
 #: Unlabelled texts of a bag, on average.
-BAG = 12_000
+BAG = 4_000
 #: A gram is a feature if it is in so many confirmed texts, this many standard errors more frequent there, and about this share of its texts toxic.
 LEAST_TEXTS, LEAST_GAP, LEAST_SHARE = 3, 6.0, 0.5
 #: Bits of the bitmap that n-grams pass before they are looked up.
