@@ -250,7 +250,7 @@ class Processor:
     def _run(self, call: Callable[[Batch], object], out: str | None, asynchronous: bool = False) -> DataFrame:
         ordering, options, tries = self.options.ordering, self.options, self.attempts
         ordered = ordering is not Ordering.UNORDERED
-        log = shards.dedup(self.log if self.epochs is None else reconcile.fence(self.log, self.epochs)[0])
+        log = self.log if self.epochs is None else reconcile.fence(self.log, self.epochs)[0]
         names = log.columns
         history = [c for c in HISTORY if c in names]
         own = [c for c in names if c not in history]
@@ -297,9 +297,13 @@ class Processor:
                     yield pa.RecordBatch.from_pylist(some[:1024], schema=arrow)
                     del some[:1024]
 
+            before = None
             try:
                 for frame in batches:
                     for r in frame.to_pylist():
+                        if (own_id := tuple(r[c] for c in shards.ID)) == before:
+                            continue  # a record that comes again: it is in the same task, next to itself
+                        before = own_id
                         s.add(tuple(r[c] for c in columns) if ordered else (), r)
                         if s.held >= limit * options.batch_size and len(s.running) < limit:
                             ended(False)

@@ -107,9 +107,19 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return opened.withColumn("n", F.sum("new").over(by)).groupBy(*PARTITION, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("n")
 
 
-def outside_runs(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """Records whose offset lies in no run: the run that began last before an offset decides, found in one sort of both."""
+def outside_runs(records: DataFrame, runs: DataFrame, most: int = 200_000) -> DataFrame:
+    """Records whose offset lies in no run: the run that began last before an offset decides.
+
+    Up to ``most`` runs are broadcast, a sorted list for each partition, which is
+    searched by halving.  More of them are found in one sort of both.
+    """
     names = records.columns
+    if runs.count() <= most:
+        held = runs.groupBy(*PARTITION).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs_of_it"))
+        steps = ", ".join(str(1 << i) for i in reversed(range(most.bit_length())))
+        at = F.expr(f"aggregate(array({steps}), 0, (n, s) -> if(n + s <= size(runs_of_it) and runs_of_it[n + s - 1].lo <= off, n + s, n))")
+        found = records.join(F.broadcast(held), PARTITION, "left").withColumn("run_of_it", at)
+        return found.where("runs_of_it is null or run_of_it = 0 or runs_of_it[run_of_it - 1].hi < off").select(names)
     own = records.select(F.struct(*names).alias("r"), *PARTITION, F.col("off").alias("lo"), F.lit(None).cast("long").alias("hi"))
     both = own.unionByName(runs.select(F.lit(None).cast(own.schema["r"].dataType).alias("r"), *PARTITION, "lo", "hi"))
     last = F.last("hi", ignorenulls=True).over(Window.partitionBy(*PARTITION).orderBy("lo", F.col("hi").asc_nulls_last()))

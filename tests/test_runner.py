@@ -190,12 +190,19 @@ def test_epochs_fence_a_stream(spark, tmp_path):
     assert p.poll(len).count() == ledger.known().count() and p.stale().count() == 40 - ledger.known().count()
 
 
+def test_a_record_that_comes_again_runs_once(spark):
+    for ordering in Ordering:
+        out = Processor(spark, Options(ordering=ordering), log(spark).union(log(spark)).union(log(spark, 7))).poll(len).collect()
+        assert len(out) == 40 and len({(r.topic, r.part, r.off) for r in out}) == 40
+
+
 def test_runs(spark):
     r = spark.createDataFrame([("t", 0, 1, 3), ("t", 0, 4, 4), ("t", 0, 9, 9), ("t", 0, 2, 2), ("t", 1, 0, 0)], "topic string, part int, lo long, hi long")
     merged = merge_runs(r)
     assert sorted((x.part, x.lo, x.hi) for x in merged.collect()) == [(0, 1, 4), (0, 9, 9), (1, 0, 0)]
     rows = spark.createDataFrame([("t", p, o, "v") for p in (0, 1, 2) for o in range(11)], "topic string, part int, off long, v string")
-    assert sorted((x.part, x.off) for x in outside_runs(rows, merged).collect()) == [(0, o) for o in (0, 5, 6, 7, 8, 10)] + [(1, o) for o in range(1, 11)] + [(2, o) for o in range(11)]
+    for most in (200_000, 0):
+        assert sorted((x.part, x.off) for x in outside_runs(rows, merged, most).collect()) == [(0, o) for o in (0, 5, 6, 7, 8, 10)] + [(1, o) for o in range(1, 11)] + [(2, o) for o in range(11)]
 
 
 def test_restore_reconciles_the_log(spark):
