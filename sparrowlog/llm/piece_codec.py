@@ -52,11 +52,52 @@ class PieceTable:
     dummy_space: bool = True
 
 
-def load_model(path: str, kind: str = "bpe") -> PieceTable:
-    """The piece table of a model file; the driver reads it, executors get it as a broadcast bound by the vocabulary."""
+def _fields(data: bytes):
+    """(number, value) of each field of a protocol buffer message; a value is a number or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            x = data[at]
+            at += 1
+            out |= (x & 127) << shift
+            shift += 7
+            if x < 128:
+                return out
+
+    while at < len(data):
+        tag = varint()
+        wire = tag & 7
+        if wire == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if wire == 2 else {1: 8, 5: 4}[wire]
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+#: Fixed values of the model format: what its trainer's settings (field 2) give as the model's type (field 3).
+KINDS = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+
+
+def kind_of(data: bytes) -> str:
+    """The kind of a model by its own file."""
+    settings = next((v for k, v in _fields(data) if k == 2), b"")
+    return KINDS[next((v for k, v in _fields(settings) if k == 3), 1)]
+
+
+def load_model(path: str) -> PieceTable:
+    """The piece table of a model file of kind bpe or unigram; the driver reads it, executors get it as a broadcast bound by the vocabulary."""
     from sentencepiece import SentencePieceProcessor
 
-    sp = SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        data = f.read()
+    kind = kind_of(data)
+    if kind not in ("bpe", "unigram"):
+        raise ValueError(f"models of kind {kind} are not encoded")
+    sp = SentencePieceProcessor(model_proto=data)
     n = sp.get_piece_size()
     byte_ids, raw, own = np.full(256, -1, np.int32), [], []
     for i in range(n):

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from sparrowlog.llm.piece_codec import Lattice, PieceTable, decode, encode, load_model
+from sparrowlog.llm.piece_codec import Lattice, PieceTable, decode, encode, kind_of, load_model
 
 PATH = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 ODD = ["", None, " ", "   ", "a", "\n", "  lead  and trail  ", "日本語のテキストです。", "x" * 300, "ab" * 500, "===" * 100, "😀 emoji", "á é", "<s> </s> <0x41>", "\x00", "the" * 40, "0123456789" * 20, "word " * 3000]
@@ -31,6 +31,15 @@ def test_same_ids_as_the_library(model):
     assert got == [sp.encode(t or "") for t in texts()]
 
 
+def test_kind_comes_from_the_file(model, tmp_path):
+    assert model.kind == "bpe" and kind_of(open(PATH, "rb").read()) == "bpe"
+    # Settings (field 2) whose type (field 3) says unigram, word, or nothing, which means unigram.
+    assert kind_of(b"\x12\x02\x18\x01") == "unigram" and kind_of(b"") == "unigram"
+    (tmp_path / "m").write_bytes(b"\x12\x02\x18\x03")
+    with pytest.raises(ValueError, match="word"):
+        load_model(str(tmp_path / "m"))
+
+
 def test_round_trip_with_extra_columns_and_repeats(spark, model):
     rows = [Row(doc_id=i, text=t, ids="clash", decoded=1) for i, t in enumerate(texts()[:80])] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int")
