@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, sent, written
 
-#: Vectors of a block and queries that are sent to it together, on average; vectors of a leaf; vectors verified at a time.
-BLOCK, QUERIES, LEAF, PAIRS = 8192, 4096, 64, 100_000
+#: Vectors of a block and queries that are sent to it together, on average; vectors of a leaf.
+BLOCK, QUERIES, LEAF = 8192, 4096, 64
 #: Vectors that the tree of cells is made from, at most about.
 SAMPLE = 1 << 16
 PROJECTIONS = 16
@@ -177,6 +177,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
         for i in np.flatnonzero(b > a):
             apart[i, by_id[a[i] : b[i]]] = np.inf  # its own rows are no candidates
         kth = np.full((len(q), 1), -np.inf) if known is None else known[lo : lo + step].reshape(-1, 1).copy()
+        top = np.full((len(q), k), -np.inf)  # the least of the best k stands first
         at, width = 0, 4
         while at < len(leaves):
             # Later leaves pass only if the next one does.
@@ -185,13 +186,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
                 break
             rows = of_leaf[near[live, at : at + width]].reshape(int(live.sum()), -1)
             dist = np.where(rows >= 0, np.take_along_axis(apart[live], np.maximum(rows, 0), 1), np.inf)
-            i, j = np.nonzero((dist <= ball(q2[live], x2[rows], kth[live], far)) & (dist < np.inf))
-            i, j = np.flatnonzero(live)[i], rows[i, j]
-            for x in range(0, len(i), PAIRS):
-                u, v = i[x : x + PAIRS], j[x : x + PAIRS]
-                score[u, v] = np.einsum("ij,ij->i", q[u], vectors[v])
-            if n > k:
-                kth[live, 0] = np.maximum(kth[live, 0], np.partition(score[live], n - k, axis=1)[:, n - k])
+            passes = (dist <= ball(q2[live], x2[rows], kth[live], far)) & (dist < np.inf)
+            new = np.full(rows.shape, -np.inf)
+            for r, i in enumerate(np.flatnonzero(live)):
+                c = np.flatnonzero(passes[r])
+                new[r, c] = score[i, rows[r, c]] = vectors[rows[r, c]] @ q[i]
+            if k:
+                top[live] = np.partition(np.concatenate([top[live], new], axis=1), -k, axis=1)[:, -k:]
+                kth[live, 0] = np.maximum(kth[live, 0], top[live, 0])
             at, width = at + width, 2 * width
         for i in range(len(q)):
             found = np.flatnonzero(score[i] > -np.inf)
