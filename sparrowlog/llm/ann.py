@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, sent, written
+from ._common import bound_batches, sent, tidy, tidy_group, written
 
 #: Vectors of a block and queries that are sent to it together, on average; vectors of a leaf.
 BLOCK, QUERIES, LEAF = 8192, 4096, 64
@@ -241,7 +241,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     scale = 1 << 30
     some = v.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(scale)) < min(scale, scale * SAMPLE // n + 1)).select("v")
     wanted = -(-n // block)
-    sample = some.mapInArrow(project, "low array<double>").toPandas()["low"] if wanted > 1 else []  # about SAMPLE rows at most
+    sample = some.mapInArrow(tidy(project), "low array<double>").toPandas()["low"] if wanted > 1 else []  # about SAMPLE rows at most
     sample = np.array(list(sample), np.float64).reshape(-1, PROJECTIONS)
     sample = sample[np.lexsort(sample.T)]
     cells = cells_of(sample, PROJECTIONS, min(wanted, max(1, len(sample) // 4)))
@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.find(matrix(b.column(1)) @ basis).astype(np.int32))], ["id", "v", "cell"])
 
-    placed = v.mapInArrow(place, "id long, v array<double>, cell int")
+    placed = v.mapInArrow(tidy(place), "id long, v array<double>, cell int")
     held, cell_x2 = np.zeros(len(cells.low), np.int64), np.zeros(len(cells.low))
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("x2")).collect():  # a row a cell
         held[r["cell"]], cell_x2[r["cell"]] = r["n"], r["x2"]
@@ -279,7 +279,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
         q = q[np.append(True, ids[q][1:] != ids[q][:-1])] if len(q) else q
         return rows_of(t["block"][0].as_py(), ids[q], x[q], search_block(ids, x, ids[q], x[q], k, basis))
 
-    at_home = placed.groupBy("block").applyInArrow(home, found_kind)
+    at_home = placed.groupBy("block").applyInArrow(tidy_group(home), found_kind)
     # Rows of one key are in one cell only if equal: the first by vector asks.
     one = Window.partitionBy("query_id").orderBy("v")
     at_home = written(at_home.withColumn("r", F.row_number().over(one)).where("r = 1").drop("r"), "home")
@@ -298,7 +298,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
                 i, c = pa.array(i[away]), pa.array(c[away].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([c, part.column(0).take(i), part.column(1).take(i), part.column(3).take(i)], ["block", "id", "v", "kth"])
 
-    asked = at_home.mapInArrow(route, "block int, id long, v array<double>, kth double")
+    asked = at_home.mapInArrow(tidy(route), "block int, id long, v array<double>, kth double")
     lots = {r["block"]: -(-r["count"] // lot) for r in asked.groupBy("block").count().collect()} if len(owner) > 1 else {}  # a row a block
     merged = at_home
     if lots:
@@ -314,7 +314,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
             found = search_block(ids[~asks], x[~asks], ids[q], x[q], k, basis, t["kth"].to_numpy(zero_copy_only=False)[q]) if len(q) else []
             return rows_of(t["block"][0].as_py(), ids[q], x[q], found)
 
-        merged = at_home.drop("v").union(base.union(asked).groupBy("block", "lot").applyInArrow(visit, found_kind).drop("v"))
+        merged = at_home.drop("v").union(base.union(asked).groupBy("block", "lot").applyInArrow(tidy_group(visit), found_kind).drop("v"))
         merged = written(merged, "found")  # at most k results a query and block
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     flat = merged.select("query_id", F.inline("best"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, release, written
+from ._common import bound_batches, release, tidy, written
 from ._text import Powers, byte_codes, mix, space_table, span_hashes, utf8, word_bounds
 from .url_filters import host_of
 
@@ -234,7 +234,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
                     pairs, n = np.unique(pairs, axis=1, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["run", "content", "n"])
 
-        return rows.select("row", "host", "html").mapInArrow(run, "run long, content long, n long").groupBy("run", "content").agg(F.sum("n").alias("n"))
+        return rows.select("row", "host", "html").mapInArrow(tidy(run), "run long, content long, n long").groupBy("run", "content").agg(F.sum("n").alias("n"))
 
     outside = written(counts(False).withColumn("beside", F.lit(True)), "outside")
     release(spark)
@@ -262,7 +262,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
                             own.append(np.full(len(made[-1]), row, np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.concatenate(own))], ["run", "row"])
 
-            met = rows.select("row", "host", "html").mapInArrow(meet, "run long, row long")
+            met = rows.select("row", "host", "html").mapInArrow(tidy(meet), "run long, row long")
             marks = written(met.join(bad, "run").groupBy("row").agg(F.collect_set("run").alias("runs")), "marks")
             release(spark)
 
@@ -282,5 +282,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
                 yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     marked = rows.withColumn("runs", F.lit(None).cast("array<long>")) if marks is None else rows.join(marks, "row", "left").select("row", "host", "html", "key", "url", "runs")
-    out = marked.mapInArrow(cut, "key long, url string, text string")
+    out = marked.mapInArrow(tidy(cut), "key long, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))

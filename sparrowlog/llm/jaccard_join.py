@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, discard, release, written
+from ._common import components, discard, release, tidy, tidy_group, written
 from ._text import Powers, byte_codes, chunks, counted, distinct, shingles, space_table, span_hashes, utf8, word_bounds
 
 #: Longest prefix extension that a document may choose.
@@ -88,7 +88,7 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
                     ["doc_id", "n", "sig1", "sig2", "n_region", "tokens"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, n_region long, tokens array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n long, sig1 long, sig2 long, n_region long, tokens array<long>")
 
 
 def _set_table(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _set_table(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: in
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), k, powers)], pa.binary())], ["d", "items"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("d is not null")
-    return rows.withColumn("s", spot("d")).mapInArrow(run, "d long, items binary")
+    return rows.withColumn("s", spot("d")).mapInArrow(tidy(run), "d long, items binary")
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -225,7 +225,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(found, pa.array(head[at]), None), pa.array(c[at])], [*b.schema.names, "head", "c"])
 
         kinds = ", ".join(f"{c} {t}" for c, t in counted.dtypes)
-        counted = counted.unionByName(lists.select(counted.columns[:-2]).mapInArrow(of_frequent, kinds).where("head is not null"))
+        counted = counted.unionByName(lists.select(counted.columns[:-2]).mapInArrow(tidy(of_frequent), kinds).where("head is not null"))
     long = counted.where(f"c > {SHORT}").select("head", "d", "n")
     short = counted.where(f"c between 2 and {SHORT}")
     x = short.select("token", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "matches", "layer")))
@@ -279,7 +279,7 @@ def _shared(reps: DataFrame) -> DataFrame:
         on = c * HOT >= total
         yield pa.RecordBatch.from_arrays([pa.array(np.append(t[on], 0)), pa.array(np.append(c[on], 0)), pa.array(np.append(np.zeros(int(on.sum()), np.int64), total))], ["token", "c", "total"])
 
-    found = written(reps.select("tokens").mapInArrow(frequent, "token long, c long, total long"), "frequent")
+    found = written(reps.select("tokens").mapInArrow(tidy(frequent), "token long, c long, total long"), "frequent")
     total = found.agg(F.sum("total")).first()[0] or 0
     tokens = np.sort(found.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") * HOT >= max(total, 1)).select("token").toPandas()["token"].to_numpy(np.int64))
     discard(found)
@@ -299,7 +299,7 @@ def _shared(reps: DataFrame) -> DataFrame:
     rest = entries.withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
     if not len(tokens):
         return rest.where("df > 1")
-    own = reps.select("tokens").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).orderBy("token").toPandas()
+    own = reps.select("tokens").mapInArrow(tidy(count), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).orderBy("token").toPandas()
     facts = spark.sparkContext.broadcast((own["token"].to_numpy(np.int64), own["df"].to_numpy(np.int64)))
 
     def of_frequent(batches):
@@ -316,7 +316,7 @@ def _shared(reps: DataFrame) -> DataFrame:
                 own = pa.array(row[part])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), b.column(2).take(own), pa.array(place[part].astype(np.int32)), pa.array(flat[hit[part]]), pa.array(df[at[hit[part]]])], ["d", "n", "n_region", "at", "token", "df"])
 
-    frequent = reps.select("d", "n", "n_region", "tokens").mapInArrow(of_frequent, "d long, n int, n_region int, at int, token long, df long").withColumn("hot", F.lit(True))
+    frequent = reps.select("d", "n", "n_region", "tokens").mapInArrow(tidy(of_frequent), "d long, n int, n_region int, at int, token long, df long").withColumn("hot", F.lit(True))
     known = F.broadcast(spark.createDataFrame([(int(t),) for t in own["token"]], "token long"))  # at most HOT rows
     cold = entries.join(known, "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("hot", F.lit(False))
     return cold.unionByName(frequent).where("df > 1")
@@ -345,7 +345,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = np.array([e[0] for e in found], np.int64), np.array([e[1] for e in found], np.int64)
         return pa.table({"a": pa.array(np.concatenate([a, out])), "b": pa.array(np.concatenate([b, out])), "head": pa.array([None] * len(a) + [head] * len(out), pa.int64())})
 
-    first = written(dealt.union(firsts).distinct().join(sets, "d").groupBy("head", "block").applyInArrow(within, "a long, b long, head long"), "within")
+    first = written(dealt.union(firsts).distinct().join(sets, "d").groupBy("head", "block").applyInArrow(tidy_group(within), "a long, b long, head long"), "within")
     release(members.sparkSession)
     links = first.where("head is null").select("a", "b")
     left = first.where("head is not null").select("head", F.col("a").alias("d"))
@@ -366,6 +366,6 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found, _ = forest(ids[rows], [np.frombuffer(items[int(i)].as_buffer(), np.uint64) for i in rows], percent, asks[rows]) if asks.any() else ([], None)
             return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
 
-        second = written(asks.select(met.columns).union(met).join(sets, "d").groupBy("head", "lot", "block").applyInArrow(across, "a long, b long"), "across")
+        second = written(asks.select(met.columns).union(met).join(sets, "d").groupBy("head", "lot", "block").applyInArrow(tidy_group(across), "a long, b long"), "across")
         links = links.union(second)
     return written(links, "links")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sent, with_text, written
+from ._common import sent, tidy, with_text, written
 from ._text import byte_grams, chunks, counted, letter_stream, letter_table, mix, utf8
 
 #: Bytes of an n-gram, slots for each n-gram, and slots of a filter for each n-gram in it, about.
@@ -87,7 +87,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 m = len(grams[lo : lo + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int32)), pa.array(grams[lo : lo + m].view(np.int64)), pa.array(n[lo : lo + m].astype(np.int64))], ["index", "gram", "n"])
 
-    counts = texts.mapInArrow(count, "index int, gram long, n long").groupBy("index", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidy(count), "index int, gram long, n long").groupBy("index", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts.withColumn("long", F.col("gram") >= GRAM << 8 * GRAM), "grams")
     totals = counts.groupBy("index", "long").agg(F.sum("n").alias("total"))
     totals = F.broadcast(totals) if len(langs) <= 10_000 else totals  # two rows a language
@@ -113,7 +113,7 @@ def _filters(member: DataFrame | None, k: int, most: int) -> tuple[np.ndarray, n
                 for at in _slots(b.column(0).to_numpy().view(np.uint64), bits):
                     yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1), b.column(2)], ["slot", "plane", "bits"])
 
-        made = member.select("gram", F.col("plane").cast("int"), "bits").mapInArrow(place, "slot long, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits"))
+        made = member.select("gram", F.col("plane").cast("int"), "bits").mapInArrow(tidy(place), "slot long, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits"))
         got = made.toPandas()  # at most a row for each slot and plane
         slots[got["plane"].to_numpy(), got["slot"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64).astype(wide)
     rate = np.array([float((slots[i // 64] >> wide(i % 64) & wide(1)).mean()) ** HASHES for i in range(k)])
@@ -191,4 +191,4 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: t
     source, at, kinds = with_text(docs, keep, text)
     names = list(keep)
     extra = ["lang_pred", "score", *(["n_grams"] if grams else [])]
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double" + (", n_grams long" if grams else ""))
+    return source.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double" + (", n_grams long" if grams else ""))

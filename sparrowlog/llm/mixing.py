@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import tidy, written
 
 #: Slots in a row before they are exploded.
 RUN = 1 << 16
@@ -181,7 +181,7 @@ def drawn_blocks(spark, sources: list[Source], shards: int, block: int, seed: in
                 words[own[slot[own] == m - 1]] = last
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(at), pa.array(words), pa.array(turn.astype(np.int32))], ["shard", "slot", "src", "block", "words", "turn"])
 
-    return slots.mapInArrow(place, "shard int, slot long, src int, block long, words long, turn int")
+    return slots.mapInArrow(tidy(place), "shard int, slot long, src int, block long, words long, turn int")
 
 
 @dataclass
@@ -265,4 +265,4 @@ def mixed_documents(docs: DataFrame, m: Mixture, doc_id: str = "doc_id", text: s
                 columns[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    return joined.mapInArrow(cut, kinds).toDF(*names)
+    return joined.mapInArrow(tidy(cut), kinds).toDF(*names)

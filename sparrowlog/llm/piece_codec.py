@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, sent, with_text
+from ._common import bound_batches, sent, tidy, with_text
 from ._text import Powers, chunks, mix, utf8
 
 SPACE = 0x2581  # the sign that stands for a space within pieces
@@ -350,7 +350,7 @@ def encode(docs: DataFrame, model: PieceTable, text: str = "text", keep: tuple[s
                 lo += n
 
     source, at, kinds = with_text(docs, keep, text)
-    return source.mapInArrow(run, f"{kinds}, ids array<int>")
+    return source.mapInArrow(tidy(run), f"{kinds}, ids array<int>")
 
 
 def decode_batch(column: pa.Array, raw: np.ndarray, at: np.ndarray, size: np.ndarray, dummy: bool) -> list[str]:
@@ -390,4 +390,4 @@ def decode(encoded: DataFrame, model: PieceTable, keep: tuple[str, ...] = ("doc_
 
     source = encoded.select(*keep, F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids_of_it"))
     kinds = [f"`{c}` {t}" for c, t in source.select(*keep).dtypes]
-    return source.mapInArrow(run, ", ".join([*kinds, "decoded string"]))
+    return source.mapInArrow(tidy(run), ", ".join([*kinds, "decoded string"]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sent, with_text, written
+from ._common import sent, tidy, tidy_group, with_text, written
 from ._text import byte_grams, chunks, counted, gram_pairs, letter_stream, letter_table, mix, utf8
 
 #: Bytes of the n-grams.
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(grams[lo : lo + (1 << 16)].view(np.int64)), pa.array(c[lo : lo + (1 << 16)])], ["gram", "p"])
 
     # What is in a few confirmed texts at least: their number bounds it.
-    often = confirmed.mapInArrow(count, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(f"gram = 0 or p >= {LEAST_TEXTS}").toPandas()
+    often = confirmed.mapInArrow(tidy(count), "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(f"gram = 0 or p >= {LEAST_TEXTS}").toPandas()
     of = often["gram"].to_numpy(np.int64)
     n_p = int(often["p"].to_numpy()[of == 0].sum())
     if not n_p:
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(c[part])], ["at", "u"])
 
     u = np.zeros(len(grams) + 1, np.int64)
-    rows = base.select("text").mapInArrow(among_all, "at long, u long").groupBy("at").agg(F.sum("u").alias("u")).toPandas()
+    rows = base.select("text").mapInArrow(tidy(among_all), "at long, u long").groupBy("at").agg(F.sum("u").alias("u")).toPandas()
     u[rows["at"].to_numpy()] = rows["u"].to_numpy()
     nu, u = int(u[-1]), u[:-1]
     # How far a gram's share among confirmed texts is above its share among all, in standard errors;
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, pa.array(feature.astype(np.int32))), *(c.slice(i, j - i) for c in b.columns[1:])], ["features", *b.schema.names[1:]])
 
-    positive = _sorted([np.asarray(x, np.int64) for x in confirmed.mapInArrow(features, "features array<int>").toPandas()["features"]])
+    positive = _sorted([np.asarray(x, np.int64) for x in confirmed.mapInArrow(tidy(features), "features array<int>").toPandas()["features"]])
     to_bags = spark.sparkContext.broadcast(positive)
     bags, p, width = max(1, -(-nu // BAG)), min(max(prior, 1e-3), 0.5), len(grams)
 
@@ -171,10 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
         on = np.flatnonzero(w)
         return pa.table({"at": pa.array(np.append(on, -1)), "w": pa.array(np.append(w[on], b))})
 
-    dealt = base.select("text", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(bags)).cast("int").alias("bag")).mapInArrow(features, "features array<int>, bag int")
+    dealt = base.select("text", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(bags)).cast("int").alias("bag")).mapInArrow(tidy(features), "features array<int>, bag int")
     dealt = dealt.groupBy("bag", "features").agg(F.count("*").alias("n"))
     # Sums of whole numbers do not depend on the order of tasks.
-    fitted = dealt.groupBy("bag").applyInArrow(train, "at long, w double").groupBy("at").agg(F.sum(F.round(F.col("w") * (1 << 40)).cast("decimal(38,0)")).cast("double").alias("w")).toPandas()
+    fitted = dealt.groupBy("bag").applyInArrow(tidy_group(train), "at long, w double").groupBy("at").agg(F.sum(F.round(F.col("w") * (1 << 40)).cast("decimal(38,0)")).cast("double").alias("w")).toPandas()
     w = np.zeros(width + 1)
     w[fitted["at"].to_numpy()] = fitted["w"].to_numpy() / (1 << 40) / bags
     return ToxicModel(grams, _mask(grams), w[:-1], float(w[-1]), prior)
@@ -243,4 +243,4 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[st
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     source, at, kinds = with_text(docs, keep, text)
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches
+from ._common import bound_batches, tidy
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -123,7 +123,7 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     bound_batches(records.sparkSession)
     names = ["key", *(x.split()[0] for x in RECORD.split(", "))]
-    return records.select(F.col("key").cast("long"), "record_id", "target_uri", "warc_date", "block").mapInArrow(run, f"key long, {RECORD}")
+    return records.select(F.col("key").cast("long"), "record_id", "target_uri", "warc_date", "block").mapInArrow(tidy(run), f"key long, {RECORD}")
 
 
 def record_text(header: str = "header", block: str = "block") -> Column:
@@ -172,4 +172,4 @@ def read_warc(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([block for _, block in part], pa.binary())], [x.split()[0] for x in kinds.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, kinds).withColumn("content_length", F.col("content_length").cast("long"))
+    return files.mapInArrow(tidy(run), kinds).withColumn("content_length", F.col("content_length").cast("long"))
