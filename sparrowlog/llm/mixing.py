@@ -252,15 +252,18 @@ def mixed_documents(docs: DataFrame, m: Mixture, doc_id: str = "doc_id", text: s
                 part = b.slice(lo, 256)
                 out = []
                 for t, runs in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    spans = [m.span() for m in word.finditer(t)]
                     merged: list[list[int]] = []
                     for r in runs:
                         if merged and merged[-1][1] == r["first"]:
                             merged[-1][1] = r["until"]
                         else:
                             merged.append([r["first"], r["until"]])
-                    whole = merged == [[0, len(spans)]]
-                    out.append(t if whole else " ".join(t[spans[a][0] : spans[e - 1][1]] for a, e in merged))
+                    # Bytes are split at the same white space.
+                    if merged == [[0, len(t.encode().split())]]:
+                        out.append(t)
+                        continue
+                    spans = [m.span() for m in word.finditer(t)]
+                    out.append(" ".join(t[spans[a][0] : spans[e - 1][1]] for a, e in merged))
                 columns = [*part.columns[: len(names)]]
                 columns[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
