@@ -173,6 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: str = "true", text: str =
 
     dealt = base.select("text", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(bags)).cast("int").alias("bag")).mapInArrow(tidy(features), "features array<int>, bag int")
     dealt = dealt.groupBy("bag", "features").agg(F.count("*").alias("n"))
+    # Bags are small but slow, so their number of tasks is asked for, not left to the size of rows.
+    dealt = dealt.repartition(min(bags, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)), "bag")
     # Sums of whole numbers do not depend on the order of tasks.
     fitted = dealt.groupBy("bag").applyInArrow(tidy_group(train), "at long, w double").groupBy("at").agg(F.sum(F.round(F.col("w") * (1 << 40)).cast("decimal(38,0)")).cast("double").alias("w")).toPandas()
     w = np.zeros(width + 1)
