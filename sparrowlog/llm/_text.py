@@ -38,14 +38,15 @@ def space_table() -> np.ndarray:
 
 
 class Powers:
-    """Powers of BASE and of its inverse, grown as longer chunks come."""
+    """Powers of BASE and of its inverse, for ``least`` bytes and grown as longer chunks come."""
 
-    def __init__(self):
+    def __init__(self, least: int = CHUNK):
+        self.least = least
         self.up = self.down = np.ones(1, np.uint64)
 
     def reach(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, CHUNK + 1)
+            n = max(n, self.least + 1)
             self.up = np.concatenate([np.ones(1, np.uint64), np.full(n - 1, BASE)]).cumprod()
             self.down = np.concatenate([np.ones(1, np.uint64), np.full(n - 1, INVERSE)]).cumprod()
 

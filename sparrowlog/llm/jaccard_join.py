@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from ._common import components, discard, release, tidy, tidy_group, written
 from ._text import Powers, byte_codes, chunks, counted, distinct, shingles, space_table, span_hashes, utf8, word_bounds
 
+#: Bytes of texts that a kernel hashes at a time.  That takes about 40 times as much memory, beside the batch.
+PIECE = 1 << 18
 #: Longest prefix extension that a document may choose.
 MOST_MATCHES = 6
 #: Lists of at most so many documents are joined to pairs; documents and shingles of a block of a cluster, on average.
@@ -57,7 +59,7 @@ def _sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingles."""
     data, off = utf8(column)
     codes, space = byte_codes(lower=True), space_table()
-    for i, j in chunks(off):
+    for i, j in chunks(off, PIECE):
         part, rel = data[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e, doc = word_bounds(part, rel, space)
         made, at = shingles(span_hashes(part, s, e, codes, powers), doc, j - i, k)
@@ -70,7 +72,7 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) ->
     region = np.uint64(min(1.0, WIDTH * (100 - percent) / 100) * (2**64 - 1))
 
     def run(batches):
-        powers = Powers()
+        powers = Powers(PIECE)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -109,7 +111,7 @@ def _set_table(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: in
     shared = spark.sparkContext.broadcast(found)
 
     def run(batches):
-        powers = Powers()
+        powers = Powers(PIECE)
         for b in batches:
             s = b.column(2).to_numpy()
             b = b.filter(pa.array((shared.value[s // 8] >> (s % 8).astype(np.uint8)) & 1 == 1))
@@ -179,12 +181,12 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n_region") - F.sum((~F.col("far")).cast("int")).over(by_doc)
     place = F.when(F.col("far"), F.col("at")).otherwise(alone + F.row_number().over(rare_first) - 1)
     e = e.withColumn("layer", F.greatest(F.lit(1), (place + 1 - (F.col("n") - F.col("need"))).cast("int"))).where(F.col("layer") <= F.least(F.lit(MOST_MATCHES), F.col("need")))
-    costs = [
-        F.struct((F.lit(float(m)) + F.sum(F.when(F.col("layer") <= m, F.col("df") - 1).otherwise(0)).over(by_doc) * (1 + F.col("n") * VERIFY * LEFT ** (m - 1))).alias("cost"), F.lit(m).alias("m"))
-        for m in range(1, MOST_MATCHES + 1)
-    ]
-    best = F.array_min(F.slice(F.array(*costs), F.lit(1), F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("need"))).cast("int")))
-    return e.withColumn("matches", best["m"]).select("token", "d", "n", "matches", "layer", "hot")
+    cost = lambda m: F.lit(float(m)) + F.sum(F.when(F.col("layer") <= m, F.col("df") - 1).otherwise(0)).over(by_doc) * (1 + F.col("n") * VERIFY * LEFT ** (m - 1))
+    # Plain columns: an array of structs for each entry would be millions of objects on the heap.
+    e = e.withColumns({f"cost{m}": cost(m) if m == 1 else F.when(F.col("need") >= m, cost(m)).otherwise(float("inf")) for m in range(1, MOST_MATCHES + 1)})
+    least = F.least(*(f"cost{m}" for m in range(1, MOST_MATCHES + 1)))
+    best = F.coalesce(*(F.when(F.col(f"cost{m}") == least, m) for m in range(1, MOST_MATCHES + 1)))
+    return e.withColumn("matches", best).select("token", "d", "n", "matches", "layer", "hot")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -205,11 +207,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     reps = named.join(chosen, ["sig1", "sig2", "doc_id"], "left_semi").dropDuplicates(["sig1", "sig2", "doc_id"])
     reps = written(reps.select(F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), F.col("n_region").cast("int").alias("n_region"), "tokens"), "representatives")
     release(profiles.sparkSession)
-    shared = written(_shared(reps), "shared")
+    lists = written(_prefixes(_shared(reps), percent), "lists")
     release(profiles.sparkSession)
     discard(reps)
-    lists = written(_prefixes(shared, percent), "lists")
-    discard(shared)
     by_token = Window.partitionBy("token")
     counted = lists.where("not hot").withColumn("head", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token))
     heads = lists.where("hot").groupBy("token").agg(F.min("d").alias("head"), F.count("*").alias("c")).orderBy("token").toPandas()  # at most HOT rows
@@ -245,7 +245,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     release(profiles.sparkSession)
     discard(members, sets)
     comp = written(components(links, "a", "b").withColumnRenamed("node", "rep"), "components")
-    discard(links)
     comp = classes.join(comp, "rep", "left").select("sig1", "sig2", "rows", F.coalesce("component", "rep").alias("component"))
     total = classes.agg(F.sum("rows")).first()[0] or 0
     frequent = F.broadcast(comp.where(F.col("rows") * HOT > total).select("sig1", "sig2", F.col("component").alias("found")))  # fewer than HOT rows
@@ -279,9 +278,10 @@ def _shared(reps: DataFrame) -> DataFrame:
         on = c * HOT >= total
         yield pa.RecordBatch.from_arrays([pa.array(np.append(t[on], 0)), pa.array(np.append(c[on], 0)), pa.array(np.append(np.zeros(int(on.sum()), np.int64), total))], ["token", "c", "total"])
 
-    found = written(reps.select("tokens").mapInArrow(tidy(frequent), "token long, c long, total long"), "frequent")
+    found = reps.select("tokens").mapInArrow(tidy(frequent), "token long, c long, total long")
+    found = written(found.groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total")), "frequent")  # summed first: a file for each task would be tiny
     total = found.agg(F.sum("total")).first()[0] or 0
-    tokens = np.sort(found.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") * HOT >= max(total, 1)).select("token").toPandas()["token"].to_numpy(np.int64))
+    tokens = np.sort(found.where(F.col("c") * HOT >= max(total, 1)).select("token").toPandas()["token"].to_numpy(np.int64))
     discard(found)
     shared = spark.sparkContext.broadcast(tokens)
 
@@ -368,4 +368,4 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         second = written(asks.select(met.columns).union(met).join(sets, "d").groupBy("head", "lot", "block").applyInArrow(tidy_group(across), "a long, b long"), "across")
         links = links.union(second)
-    return written(links, "links")
+    return links

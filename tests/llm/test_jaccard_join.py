@@ -1,11 +1,14 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
 from sparrowlog.llm import jaccard_join
+from sparrowlog.llm._text import Powers
 from sparrowlog.llm.jaccard_join import forest, jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +106,17 @@ def test_versions_that_drift(spark, monkeypatch, block, hot):
     df = spark.createDataFrame([(i, rows[n]) for i, n in enumerate(order)], "doc_id long, text string")
     got = {tuple(r) for r in jaccard_components(df, percent=95).collect()}
     assert got == brute([(i, rows[n]) for i, n in enumerate(order)], 95)
+
+
+def test_memory_of_hashing():
+    """A worker's memory beside its batch of texts; executors have two workers or more, and came close to their limit."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(1500)) for _ in range(300)]  # about 3 MB
+    column, powers = pa.array([*texts, None, ""]), Powers()
+    powers.reach(1 << 20)
+    tracemalloc.start()
+    sizes = [len(x) for x in jaccard_join._sets(column, 4, powers)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [len(shingle_set(t)) for t in [*texts, None, ""]]
+    assert peak < 12e6, peak
