@@ -251,8 +251,11 @@ def decode_runs(runs: DataFrame, state: DataFrame) -> DataFrame:
     return r.select("topic", "part", F.explode(F.sequence(F.col("to_commit") + F.col("at"), F.col("to_commit") + F.col("at") + F.col("n") - 1)).alias("off"))
 
 
-def sizes(work: DataFrame, state: DataFrame) -> DataFrame:
-    """(topic, part, encoding, rank, size): bytes of each plain encoding that can hold the range, and of compressed ones where none of these is under SMALL."""
+def sizes(work: DataFrame, state: DataFrame, compress: bool = True) -> DataFrame:
+    """(topic, part, encoding, rank, size): bytes of each plain encoding that can hold the range, and of compressed ones where none of these is under SMALL.
+
+    Without ``compress`` there are plain ones only, whatever their size; these need no Python and no list of runs.
+    """
     s = state.where("highest_succeeded >= to_commit").select("topic", "part", (F.col("highest_succeeded") - F.col("to_commit") + 1).alias("bits"))
     # A range that begins with a complete offset has an empty first run.
     all_runs = run_lengths(work, state)
@@ -266,6 +269,8 @@ def sizes(work: DataFrame, state: DataFrame) -> DataFrame:
     )
     forms = s.join(r, ["topic", "part"]).select("topic", "part", each.alias("forms"))
     plain = forms.select("topic", "part", F.inline("forms")).drop("fits")
+    if not compress:
+        return plain
     long = forms.where(f"forall(forms, e -> e.size >= {SMALL})").select("topic", "part")
 
     @F.pandas_udf("array<struct<encoding: string, rank: int, size: bigint>>")

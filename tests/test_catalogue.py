@@ -30,6 +30,29 @@ def test_query_equals_sql(spark, tiny, duck, name):
     assert plain(got) == plain(want)
 
 
+@pytest.fixture(scope="module")
+def larger(duck, tiny, tmp_path_factory):
+    """``events`` 60 times with new users and ids: payloads of more than 200 bytes, and what SQL makes of them."""
+    folder = tmp_path_factory.mktemp("larger")
+    duck.execute(f"""COPY (SELECT event_id + r.range * n AS event_id, ts, user_id + r.range * users AS user_id, event_type, value, props
+        FROM range(60) r, (SELECT *, count(*) OVER () AS n, max(user_id) OVER () + 1 AS users FROM events)) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    return str(folder), con
+
+
+def equals_sql(spark, larger, name):
+    folder, con = larger
+    return plain(QUERIES[name](spark, folder).toPandas()) == plain(con.execute(ORACLE_SQL[name]).fetchdf())
+
+
+@pytest.mark.parametrize("name", ["q_codec_sizes"])
+def test_long_payloads(spark, larger, name):
+    assert larger[1].execute(f"SELECT min(size) FROM ({ORACLE_SQL['q_codec_sizes']})").fetchone()[0] >= 200
+    assert equals_sql(spark, larger, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
