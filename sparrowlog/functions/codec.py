@@ -309,12 +309,14 @@ def pressure(chosen: DataFrame, limit: int = METADATA_LIMIT, share: float = PRES
 
 
 def payloads(state: DataFrame, todo: DataFrame, limit: int = METADATA_LIMIT, share: float = PRESSURE, forced: str | None = None) -> DataFrame:
-    """(topic, part, to_commit, highest_succeeded, metadata, encoding, chars, encoding_us, allowed): what each partition would commit.
+    """(topic, part, to_commit, highest_succeeded, metadata, encoding, chars, encoding_us, allowed, payload): what each partition would commit.
 
     Only incomplete offsets below the highest succeeded one are kept.  A list of a
     partition's incompletes is what the payload holds.  Without any there is no
-    payload; one that is too long is left out, and it or a long one stops the
-    partition from taking records above its highest succeeded offset.
+    payload; one that is too long is left out of the metadata, and it or a long one
+    stops the partition from taking records above its highest succeeded offset.
+    ``payload`` is the whole one, however long: what changes are told by, and what a
+    store without a limit may keep.
     """
     top = state.select("topic", "part", "to_commit", "highest_succeeded")
     lists = todo.select("topic", "part", "off").distinct().join(top, ["topic", "part"]).where("off < highest_succeeded").groupBy("topic", "part").agg(F.sort_array(F.collect_list("off")).alias("todo"))
@@ -333,4 +335,4 @@ def payloads(state: DataFrame, todo: DataFrame, limit: int = METADATA_LIMIT, sha
 
     made = top.join(lists, ["topic", "part"], "left").withColumn("p", run("to_commit", "highest_succeeded", "todo"))
     n = F.coalesce(F.length("p.metadata"), F.lit(0))
-    return made.select("topic", "part", "to_commit", "highest_succeeded", F.when(n <= limit, F.col("p.metadata")).alias("metadata"), "p.encoding", n.alias("chars"), "p.encoding_us", (n <= limit * share).alias("allowed"))
+    return made.select("topic", "part", "to_commit", "highest_succeeded", F.when(n <= limit, F.col("p.metadata")).alias("metadata"), "p.encoding", n.alias("chars"), "p.encoding_us", (n <= limit * share).alias("allowed"), F.col("p.metadata").alias("payload"))

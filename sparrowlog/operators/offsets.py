@@ -37,14 +37,17 @@ def incompletes_below_highest(work: DataFrame) -> DataFrame:
 
 
 def dirty_commits(payloads: DataFrame, committed: DataFrame) -> DataFrame:
-    """The payloads (topic, part, to_commit, metadata) that differ from the last commit (topic, part, committed, metadata).
+    """The payloads (topic, part, to_commit, metadata, payload) that differ from the last commit (topic, part, committed, metadata).
 
     A success above the lowest incomplete offset moves no offset but changes the
     payload, so it counts.  An ack that comes between a commit's collection and its
     confirmation differs from what was collected, so the partition stays dirty.
+    Where both have the whole ``payload``, it decides: metadata that was too long
+    and left out looks alike before and after an ack.
     """
-    last = committed.select(*PARTITION, "committed", F.col("metadata").alias("was"))
-    changed = payloads.join(last, PARTITION, "left").where("committed is null or to_commit <> committed or not metadata <=> was")
+    by = "payload" if "payload" in payloads.columns and "payload" in committed.columns else "metadata"
+    last = committed.select(*PARTITION, "committed", F.col(by).alias("was"))
+    changed = payloads.join(last, PARTITION, "left").where(f"committed is null or to_commit <> committed or not {by} <=> was")
     return changed.select(payloads.columns)
 
 

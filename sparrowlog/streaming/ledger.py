@@ -25,7 +25,7 @@ from ..operators import offsets, reconcile, shards
 from ..plans.runner import HISTORY, Processor
 
 ID, PARTITION = shards.ID, offsets.PARTITION
-COMMITS = "topic string, part int, to_commit long, highest_succeeded long, metadata string, encoding string, chars int, encoding_us long, allowed boolean"
+COMMITS = "topic string, part int, to_commit long, highest_succeeded long, metadata string, encoding string, chars int, encoding_us long, allowed boolean, payload string"
 
 
 class Ledger:
@@ -257,7 +257,7 @@ def process(
         rows = codec.payloads(state_of(runs, left), left, metadata_limit)
         if before is not None:
             dirty = offsets.dirty_commits(rows, before.withColumnRenamed("to_commit", "committed"))
-            rows = dirty.unionByName(before.join(dirty, PARTITION, "left_anti"))
+            rows = dirty.unionByName(before.join(dirty, PARTITION, "left_anti"), allowMissingColumns=True)
         try:
             retried(lambda: ledger.put("commits", rows.select(*(c.split()[0] for c in COMMITS.split(", "))), batch), options.commit_retries, 0.1)
         except Exception as e:

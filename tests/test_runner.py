@@ -232,6 +232,15 @@ def test_acks_during_a_commit_stay_dirty(spark):
     assert now.to_commit == 0 and codec.decode(0, now.metadata) == (3, [0, 2])
 
 
+def test_acks_behind_a_stripped_payload_are_dirty(spark):
+    work = lambda done: spark.createDataFrame([("t", 0, o, o in done) for o in range(60)], "topic string, part int, off long, succeeded boolean")
+    paid = lambda done: codec.payloads(offsets.partition_state(work(done)), offsets.incompletes(work(done)), limit=8)
+    collected = paid({1, 50}).withColumnRenamed("to_commit", "committed")
+    assert collected.first().metadata is None and offsets.dirty_commits(paid({1, 50}), collected).count() == 0
+    (now,) = offsets.dirty_commits(paid({1, 3, 50}), collected).collect()
+    assert now.metadata is None and codec.decode(0, now.payload) == (50, [o for o in range(50) if o not in (1, 3)])
+
+
 def test_concurrency(spark):
     """Up to the limit run together, never more; a shard's records one after another."""
     rows = spark.createDataFrame([("t", 0, i, f"k{i % 40}", i) for i in range(400)], SCHEMA)
