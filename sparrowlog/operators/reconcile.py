@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ def load(commits: DataFrame, foreign: ForeignMetadata = ForeignMetadata.FAIL) ->
 
     @F.pandas_udf("highest_seen long, todo array<long>")
     def run(committed: pd.Series, metadata: pd.Series) -> pd.DataFrame:
-        rows = [codec.decode_or_none(int(c), m, foreign) for c, m in zip(committed, metadata)]
-        return pd.DataFrame({"highest_seen": [r[0] for r in rows], "todo": [r[1] for r in rows]})
+        seen, todo = [], []
+        for c, m in zip(committed, metadata):
+            highest, offs = codec.decode_or_none(int(c), m, foreign)
+            seen.append(highest)
+            todo.append(np.array(offs, np.int64))  # whole payloads may hold millions
+        return pd.DataFrame({"highest_seen": seen, "todo": todo})
 
     read = commits.select(*PARTITION, "committed", run("committed", "metadata").alias("d"))
     return read.select(*PARTITION, "committed", "d.highest_seen"), read.select(*PARTITION, F.explode("d.todo").alias("off"))

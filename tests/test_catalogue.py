@@ -42,6 +42,18 @@ def larger(duck, tiny, tmp_path_factory):
     return str(folder), con
 
 
+@pytest.fixture(scope="module")
+def stripped(duck, tmp_path_factory):
+    """One partition of 60,000 events whose payload is too long for a commit's metadata."""
+    folder = tmp_path_factory.mktemp("stripped")
+    duck.execute(f"""COPY (SELECT event_id + r.range * n AS event_id, ts, CAST(hash(event_id, r.range) % 2000 AS BIGINT) * 12 AS user_id, event_type, value, props
+        FROM range(60) r, (SELECT *, count(*) OVER () AS n FROM events)) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    return str(folder), con
+
+
 def equals_sql(spark, larger, name):
     folder, con = larger
     return plain(QUERIES[name](spark, folder).toPandas()) == plain(con.execute(ORACLE_SQL[name]).fetchdf())
@@ -53,6 +65,11 @@ def test_long_payloads(spark, larger, name):
     assert equals_sql(spark, larger, name)
 
 
+@pytest.mark.parametrize("name", ["q_commit_restore"])
+def test_stripped_payloads(spark, stripped, name):
+    assert equals_sql(spark, stripped, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
