@@ -8,7 +8,7 @@ import pytest
 from sparrowlog.functions import codec
 from sparrowlog.model import CommitMode, Options, Ordering, Status
 from sparrowlog.operators import metrics, offsets
-from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, produced, progress, work_remaining
+from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, Scheduler, produced, progress, work_remaining
 from sparrowlog.sources.log import broker, files, per_trigger
 from sparrowlog.streaming.ledger import Ledger, close, merge_runs, outside_runs, process, restore, retried, run_with_restarts
 
@@ -241,6 +241,26 @@ def test_acks_behind_a_stripped_payload_are_dirty(spark):
     assert now.metadata is None and codec.decode(0, now.payload) == (50, [o for o in range(50) if o not in (1, 3)])
 
 
+def test_one_at_a_time_needs_no_thread():
+    """With a limit of one, batches run in the task: in order, with retries, and a shard that fails is closed."""
+    ran = []
+
+    def here(b):
+        ran.append((b.offset, b.attempts))
+        if b.offset == 1 and b.attempts < 1 or b.offset == 3:
+            raise SystemExit("no")
+        return [b.offset]
+
+    s = Scheduler(None, 1, 2, 1, lambda b: 0.01, 10, True, here)
+    for o in range(6):
+        s.add("a" if o < 5 else "b", {"off": o})
+    out = []
+    while not s.idle:
+        out += [(b.offset, ok, made) for b, ok, made, _, _ in s.advance(True)]
+    assert [x for x in out if x[0] != 5] == [(0, True, [0]), (1, True, [1]), (2, True, [2]), (3, False, [])] and (5, True, [5]) in out
+    assert [x for x in ran if x[0] != 5] == [(0, 0), (1, 0), (1, 1), (2, 0), (3, 0), (3, 1)] and s.held == 0 and s.most == 1
+
+
 def test_concurrency(spark):
     """Up to the limit run together, never more; a shard's records one after another."""
     rows = spark.createDataFrame([("t", 0, i, f"k{i % 40}", i) for i in range(400)], SCHEMA)
