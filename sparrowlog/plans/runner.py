@@ -13,7 +13,7 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -341,7 +341,10 @@ class Processor:
                     loop.call_soon_threadsafe(loop.stop)
 
         # A number that is asked for: small rows must not bring slow calls together in one task.
-        log = log.repartition(n, *columns) if ordered else log.repartition(n, F.xxhash64(*shards.ID))
+        if ordering is Ordering.PARTITION:
+            log = deal(log, n).select(names)
+        else:
+            log = log.repartition(n, *columns) if ordered else log.repartition(n, F.xxhash64(*shards.ID))
         return log.sortWithinPartitions("topic", "off", "part").mapInArrow(partition, schema)
 
     def poll(self, fn: Callable[[Batch], object]) -> DataFrame:
@@ -411,6 +414,20 @@ class Processor:
         self.status = Status.CLOSED
 
 
+def deal(log: DataFrame, n: int) -> DataFrame:
+    """The log in ``n`` tasks, each with as many of its topics' partitions as any other, give or take one; largest first, so that the rest is small.
+
+    A hash brings several of a few partitions together in one task, and each of them
+    is serial.  ``dealt`` is the task; a row a partition is counted and broadcast.
+    """
+    sizes = log.groupBy(*offsets.PARTITION).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), *offsets.PARTITION)) - 1
+    tasks = sizes.select(*offsets.PARTITION, F.pmod(place, F.lit(n)).cast("int").alias("dealt"))
+    by_hash = F.pmod(F.hash(*offsets.PARTITION), F.lit(n)).cast("int")
+    dealt = log.join(F.broadcast(tasks), offsets.PARTITION, "left").withColumn("dealt", F.coalesce("dealt", by_hash))
+    return dealt.repartitionById(n, "dealt")
+
+
 async def _complete(x):
     if inspect.isawaitable(x):
         x = await x

@@ -4,11 +4,12 @@ import time
 from concurrent.futures import Future
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowlog.functions import codec
 from sparrowlog.model import CommitMode, Options, Ordering, Status
 from sparrowlog.operators import metrics, offsets
-from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, Scheduler, produced, progress, work_remaining
+from sparrowlog.plans.runner import Batch, Processor, Request, Results, Retriable, Scheduler, deal, produced, progress, work_remaining
 from sparrowlog.sources.log import broker, files, per_trigger
 from sparrowlog.streaming.ledger import Ledger, close, merge_runs, outside_runs, process, restore, retried, run_with_restarts
 
@@ -261,6 +262,15 @@ def test_one_at_a_time_needs_no_thread():
     assert [x for x in ran if x[0] != 5] == [(0, 0), (1, 0), (1, 1), (2, 0), (3, 0), (3, 1)] and s.held == 0 and s.most == 1
 
 
+def test_partitions_are_dealt_evenly(spark):
+    """12 partitions of two topics in 4, 6 and 12 tasks, numbered with any stride."""
+    for stride in (1, 12):
+        rows = spark.createDataFrame([(t, p * stride, o, "k", o) for t in "ab" for p in range(6) for o in range(3)], SCHEMA)
+        for n in (4, 6, 12):
+            got = deal(rows, n).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("topic", "part").alias("parts"), F.count("*").alias("rows")).collect()
+            assert [(r.parts, r.rows) for r in got] == [(12 // n, 36 // n)] * n
+
+
 def test_concurrency(spark):
     """Up to the limit run together, never more; a shard's records one after another."""
     rows = spark.createDataFrame([("t", 0, i, f"k{i % 40}", i) for i in range(400)], SCHEMA)
